@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from ..session import rows_within, staged
 from .tokens import VOCABULARY, counted, once
 
-#: Units of one block of the flight.
+#: Units of one block of the flight, and units that the last flight leaves to the landing.
 BLOCK = 4000
+LANDING = 12
 _EPS = 1e-9
 
 
@@ -36,8 +38,8 @@ def _null_vector(a: list[tuple[float, float]]) -> list[float]:
     return u
 
 
-def flight(tokens: list[float], p: list[float], rng: random.Random) -> list[float]:
-    """Probabilities after the flight phase: all but at most two are 0 or 1.
+def flight(tokens: list[float], p: list[float], rng: random.Random, leave: int = 2) -> list[float]:
+    """Probabilities after the flight phase: all but at most ``leave`` (2 or more) are 0 or 1.
 
     The sum of the probabilities and the sum of tokens times probability stay
     as they were (tokens and document totals are the balancing constraints).
@@ -55,7 +57,7 @@ def flight(tokens: list[float], p: list[float], rng: random.Random) -> list[floa
         while len(open_) < 3 and at < len(todo):
             open_.append(todo[at])
             at += 1
-        if len(open_) < 3:
+        if len(open_) + len(todo) - at <= max(2, leave):
             return p
         u = _null_vector([(tokens[i], 1.0) for i in open_])
         up = min(((1 - p[i]) / x if x > 0 else p[i] / -x) for i, x in zip(open_, u, strict=True) if abs(x) > 0)
@@ -78,10 +80,15 @@ def flight(tokens: list[float], p: list[float], rng: random.Random) -> list[floa
 
 
 def landing(tokens: list[float], p: list[float]) -> list[float]:
-    """The open probabilities (at most ten) settled so that the token total is as near as possible."""
+    """The open probabilities (at most LANDING) settled so that the token total is as near as possible."""
     open_ = [i for i, x in enumerate(p) if 0 < x < 1]
+    if not open_:
+        return list(p)
     aim = sum(tokens[i] * p[i] for i in open_)
-    best = min(range(1 << len(open_)), key=lambda m: (abs(sum(tokens[i] for k, i in enumerate(open_) if m >> k & 1) - aim), m))
+    sums = np.zeros(1)  # of all subsets, in the order of their bit masks
+    for i in open_:
+        sums = np.concatenate([sums, sums + tokens[i]])
+    best = int(np.argmin(np.abs(sums - aim)))
     out = list(p)
     for k, i in enumerate(open_):
         out[i] = float(best >> k & 1)
@@ -121,7 +128,7 @@ def _level(open_: DataFrame, last: bool, seed: int) -> DataFrame:
         order = list(range(len(pdf)))
         rng.shuffle(order)
         tokens, p = pdf["n_tokens"].astype(float).tolist(), pdf["p"].tolist()
-        got = flight([tokens[i] for i in order], [p[i] for i in order], rng)
+        got = flight([tokens[i] for i in order], [p[i] for i in order], rng, LANDING)
         if last:
             got = landing([tokens[i] for i in order], got)
         back = [0.0] * len(order)
@@ -159,8 +166,8 @@ def mixed(documents: DataFrame, mixtures: DataFrame, vocabulary: str = VOCABULAR
         done = settled if done is None else done.unionByName(settled)
         if last:
             break
-        # Each block leaves at most two units: so many blocks make one of the next level.
-        blocks = -(-blocks // (block // 2))
+        # Each block leaves at most LANDING units: so many blocks make one of the next level.
+        blocks = -(-blocks // max(2, block // LANDING))
         x = x.filter("p > 0 and p < 1").withColumn("block", F.pmod(F.col("block"), F.lit(blocks)))
     repeats = (F.col("whole") + F.col("p").cast("int")).alias("repeats")
     return done.select("mixture_id", F.col("source").alias("source_id"), "doc_id", repeats, "n_tokens").filter("repeats > 0"), goals

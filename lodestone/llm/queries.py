@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import answers, batches, encoding, leaks, mixing, packing, pieces, splits
+from . import answers, batches, encoding, leaks, mixing, packing, pieces, spans, splits
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -76,5 +76,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*mixing.mixed(_t(spark, d, "documents"), _t(spark, d, "mixture_sources")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_restored, p6_found, p7_containers, p7_fills, p8_chosen, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_pairs(*spans.shared_passages(_t(spark, d, "documents")))
+
+
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_passages(_t(spark, d, "documents"))[0]
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    return spans.sharing_report(docs, *spans.shared_passages(docs))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_restored, p6_found, p7_containers, p7_fills, p8_chosen, p8_shares, p9_found, p9_passages, p9_shared)}
 SQL: dict[str, str] = {}
