@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def get_session(app: str = "lodestone", master: str | None = None, shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches; on a cluster, the given session is used instead."""
-    b = SparkSession.builder.appName(app)
+    b = SparkSession.builder.appName(app).config("spark.ui.showConsoleProgress", "false")
     if master:
         b = b.master(master)
     return (
