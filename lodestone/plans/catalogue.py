@@ -2,4 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from . import dedup_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return QUERIES["flagship_corpus_report"](spark, sf)
