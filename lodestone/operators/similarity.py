@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,18 +29,26 @@ def match_text(c: Column) -> Column:
     return F.replace(F.replace(x, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
+def let(c: Column, f) -> Column:
+    """f of a value that is computed once, also where f uses it within a lambda."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def runs(w: Column, k: int, sep: str) -> Column:
+    """All runs of k members of an array of at least k."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), sep))
+
+
 def shingles(c: Column, k: int = 5) -> Column:
     """The different runs of k words of a text, joined; a shorter text is one shingle, one without words none."""
-    w = F.regexp_extract_all(match_text(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    n = F.size(w)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), "␟"))
-    return F.when(n > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    found = F.regexp_extract_all(match_text(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return let(found, lambda w: F.when(F.size(w) > 0, F.array_distinct(runs(w, k, "␟"))).otherwise(F.array().cast("array<string>")))
 
 
 def _lengths() -> Column:
     """By byte length: what the second checksum differs from the first by (both are affine, so content doesn't matter)."""
     zero = bytes(LONGEST)
-    return F.array(*[F.lit(zlib.crc32(zero[:n], SECOND) ^ zlib.crc32(zero[:n])) for n in range(LONGEST)])
+    return F.lit(np.array([zlib.crc32(zero[:n], SECOND) ^ zlib.crc32(zero[:n]) for n in range(LONGEST)], np.int64))
 
 
 def signature(c: Column, k: int = 5, size: int = 64) -> Column:
@@ -49,24 +58,28 @@ def signature(c: Column, k: int = 5, size: int = 64) -> Column:
     signature is padded by a rule. A text without words has all bits set. A
     shingle of LONGEST bytes or more takes part with the first checksum only.
     """
-    ordered = F.array_sort(shingles(c, k))
-    n, most = F.size(ordered), 4 * size
-    even = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.element_at(ordered, F.floor(i.cast("long") * (n - 1) / (most - 1)).cast("int") + 1))
-    picked = F.when(n > most, even).otherwise(ordered)
-    table = _lengths()
+    most, table = 4 * size, _lengths()
+    pads = F.lit(np.array([_signed(i * PAD) for i in range(1, size + 1)], np.int64))
+    flip = F.lit(-(1 << 63))
 
     def value(s: Column) -> Column:
         crc = F.crc32(F.encode(s, "UTF-8"))
         other = F.coalesce(F.get(table, F.octet_length(s)), F.lit(0)).cast("long")
-        return F.shiftleft(crc, 32).bitwiseOR(crc.bitwiseXOR(other))
+        return F.shiftleft(crc, 32).bitwiseOR(crc.bitwiseXOR(other)).bitwiseXOR(flip)
 
-    flip = F.lit(-(1 << 63))
-    low = F.slice(F.array_sort(F.array_distinct(F.transform(picked, lambda s: value(s).bitwiseXOR(flip)))), 1, size)
+    def even(o: Column) -> Column:
+        last = F.size(o).cast("long") - 1
+        return F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.element_at(o, F.floor(i.cast("long") * last / (most - 1)).cast("int") + 1))
+
+    def padded(low: Column) -> Column:
+        seed = F.aggregate(low, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v))
+        rest = let(seed, lambda x: F.transform(F.slice(pads, F.size(low) + 1, F.lit(size)), lambda p: p.bitwiseXOR(x)))
+        return F.slice(F.concat(low, rest), 1, size)
+
+    picked = let(F.array_sort(shingles(c, k)), lambda o: F.when(F.size(o) > most, even(o)).otherwise(o))
+    low = F.slice(F.array_sort(F.array_distinct(F.transform(picked, value))), 1, size)
     low = F.transform(low, lambda v: v.bitwiseXOR(flip))
-    seed = F.aggregate(low, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v))
-    pads = F.array(*[F.lit(_signed(i * PAD)) for i in range(1, size + 1)])
-    full = F.concat(low, F.transform(F.slice(pads, F.size(low) + 1, F.lit(size)), lambda p: p.bitwiseXOR(seed)))
-    return F.when(n > 0, F.slice(full, 1, size)).otherwise(F.array_repeat(F.lit(-1).cast("long"), size))
+    return let(low, lambda x: F.when(F.size(x) > 0, padded(x)).otherwise(F.array_repeat(F.lit(-1).cast("long"), size)))
 
 
 def band_keys(sig: Column, bands: int = 8) -> Column:

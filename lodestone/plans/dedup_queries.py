@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import similarity as sim
+from ..session import staged
 from .dialect import Duck, grams, norm, relational, words, ws
 from .registry import query
 from .text_queries import gate
@@ -20,10 +21,9 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def shingle_list(d, x, k=5):
     """The different runs of k words; a shorter text is one."""
-    w = words(d, norm(d, x))
-    n = d.size(w)
-    short = d.map(d.seq("1", "1"), "i", d.join(w, SEP))
-    return f"case when {n} = 0 then {d.empty()} when {n} < {k} then {short} else {d.distinct(grams(d, w, k, SEP))} end"
+    n = d.size("sw")
+    short = d.map(d.seq("1", "1"), "si", d.join("sw", SEP))
+    return d.let(words(d, norm(d, x)), "sw", f"case when {n} = 0 then {d.empty()} when {n} < {k} then {short} else {d.distinct(grams(d, 'sw', k, SEP))} end")
 
 
 @relational("f1_exact_groups")
@@ -41,7 +41,7 @@ def f2(d):
 def _pairs_sql(table, key, items, t, extra=""):
     return f"""with s as (select {key} as id, {items} as s from (select distinct {key}, text from {table}) x), e as (select id, len(s) as n, unnest(s) as g from s),
       p as (select a.id as a, b.id as b, count(*) as c, max(a.n) as na, max(b.n) as nb from e a join e b on a.g = b.g and a.id < b.id group by 1, 2),
-      near as (select a, b, c / cast(na + nb - c as double) as similarity from p where c / cast(na + nb - c as double) >= {t} - 1e-12)"""
+      near as materialized (select a, b, c / cast(na + nb - c as double) as similarity from p where c / cast(na + nb - c as double) >= {t} - 1e-12)"""
 
 
 _NEAR = _pairs_sql("documents", "doc_id", shingle_list(_D, "text"), 0.75)
@@ -102,7 +102,7 @@ def f10(d):
 @query("f11_bucket_candidates")
 def f11(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of documents that share a band key."""
-    x = f9(spark, sf).select("document_id", F.explode("bucket_keys").alias("k")).filter(~F.col("k").endswith(F.sha2(F.lit(b""), 256)))
+    x = staged(f9(spark, sf).select("document_id", "bucket_keys"), "index").select("document_id", F.explode("bucket_keys").alias("k")).filter(~F.col("k").endswith(F.sha2(F.lit(b""), 256)))
     a, b = x.select(F.col("document_id").alias("a"), "k"), x.select(F.col("document_id").alias("b"), "k")
     return a.join(b, "k").filter("a < b").select("a", "b").distinct()
 
@@ -150,16 +150,15 @@ def f15(d):
 
 def _plain_shingles(d, x):
     w = d.split(f"lower({ws(d, x)})", " ")
-    return f"case when {d.size(w)} >= 3 then {d.distinct(grams(d, w, 3, ' '))} else {d.distinct(w)} end"
+    return d.let(w, "pw", f"case when {d.size('pw')} >= 3 then {d.distinct(grams(d, 'pw', 3, ' '))} else {d.distinct('pw')} end")
 
 
 @query("f16_near_examples", _pairs_sql("(select example_id, instruction as text from instruction_examples where instruction is not null and trim(instruction) <> '')", "example_id", _plain_shingles(_D, "text"), 0.75) + " select a, b, round(similarity, 6) as similarity from near")
 def f16(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of examples whose instructions have 3-word similarity 0.75 or more."""
     x = spark.read.parquet(f"{sf}/instruction_examples.parquet").filter("instruction is not null and trim(instruction) <> ''")
-    w = F.split(F.lower(F.trim(F.regexp_replace("instruction", sim._WS, " "))), " ")
-    n = F.size(w)
-    s = F.when(n >= 3, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " "))).otherwise(w)
+    words_ = F.split(F.lower(F.trim(F.regexp_replace("instruction", sim._WS, " "))), " ")
+    s = sim.let(words_, lambda w: F.when(F.size(w) >= 3, sim.runs(w, 3, " ")).otherwise(w))
     return sim.similar_pairs(x.select("example_id", s.alias("s")), "example_id", "s", 0.75).withColumn("similarity", F.round("similarity", 6))
 
 

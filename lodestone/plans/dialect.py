@@ -37,6 +37,7 @@ class Dialect:
     def map(self, x, v, e): return f"transform({x}, {v} -> {e})"
     def keep(self, x, v, e): return f"filter({x}, {v} -> {e})"
     def seq(self, a, b): return f"sequence({a}, {b})"
+    def let(self, x, v, e): return f"element_at(transform(array({x}), {v} -> {e}), 1)"
     def join(self, x, sep): return f"array_join({x}, {self.q(sep)})"
     def distinct(self, x): return f"array_distinct({x})"
     def explode(self, x): return f"explode({x})"
@@ -70,6 +71,7 @@ class Duck(Dialect):
     def map(self, x, v, e): return f"list_transform({x}, lambda {v}: {e})"
     def keep(self, x, v, e): return f"list_filter({x}, lambda {v}: {e})"
     def seq(self, a, b): return f"range({a}, ({b}) + 1)"
+    def let(self, x, v, e): return f"list_transform([{x}], lambda {v}: {e})[1]"
     def join(self, x, sep): return f"array_to_string({x}, {self.q(sep)})"
     def distinct(self, x): return f"list_distinct({x})"
     def explode(self, x): return f"unnest({x})"
@@ -107,10 +109,10 @@ def words(d, x):
 
 
 def grams(d, ws_, k, sep):
-    """All runs of k members of a list of words, joined; none if there are fewer."""
-    n = d.size(ws_)
-    runs = d.map(d.seq("1", d.int(f"{n} - {k - 1}")), "i", d.join(d.part(ws_, "cast(i as int)" if d.spark else "i", k), sep))
-    return f"case when {n} >= {k} then {runs} else {d.empty()} end"
+    """All runs of k members of a list of words, joined; none if there are fewer. The list is computed once."""
+    n = d.size("gw")
+    runs = d.map(d.seq("1", d.int(f"{n} - {k - 1}")), "gi", d.join(d.part("gw", "cast(gi as int)" if d.spark else "gi", k), sep))
+    return d.let(ws_, "gw", f"case when {n} >= {k} then {runs} else {d.empty()} end")
 
 
 _TABLE = re.compile(r"@(\w+)")
