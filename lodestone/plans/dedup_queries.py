@@ -320,7 +320,9 @@ def g12(d):
 def flagship(d):
     """Per source: documents, accepted, first of their text, and free of prompt spans."""
     g = lambda x: grams(d, d.split(ws(d, fold_(x)), " "), 8, " ")
-    return f"""{gate(d)}, a as (select doc_id, source, text, row_number() over (partition by {d.sha(norm(d, 'text'))} order by doc_id) as r from gated where reason is null),
+    # The filter stays above the window: pushed below, it would repeat the gate's work in its condition.
+    first = f"row_number() over (partition by case when reason is null then {d.sha(norm(d, 'text'))} else cast(doc_id as varchar(20)) end order by doc_id)"
+    return f"""{gate(d)}, b as (select doc_id, source, text, reason, {first} as r from gated), a as (select doc_id, source, text, r from b where reason is null),
       p as (select distinct {d.explode(g('prompt'))} as g from @prompts where prompt is not null),
       e as (select doc_id, {d.explode(g('text'))} as g from a where r = 1), hit as (select distinct e.doc_id from e join p on e.g = p.g)
       select x.source, count(*) as n_docs, count(a.doc_id) as accepted, {d.int('sum(case when a.r = 1 then 1 else 0 end)')} as first_of_text, {d.int('sum(case when a.r = 1 and hit.doc_id is null then 1 else 0 end)')} as clean
