@@ -46,7 +46,7 @@ def pivot_table(items: DataFrame, sketch: np.ndarray, k: int = K, t: float = SIM
     """
     base = items.filter("item_id is not null").select("item_id", F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch_no"), _fingerprint("fingerprint").alias("fp"), F.col("item_text").alias("text"))
     cells = ("cells", "array<smallint>", pa.list_(pa.int16()), pivots)
-    rows = setjoin.with_prefixes(base, "text", text_windows, k, t, sketch, cells)
+    rows = setjoin.with_prefixes(base, "text", "text", k, t, sketch, cells)
     first = F.min(F.struct("batch_no", "fp", "set_key", "n", "prefix", "cells")).alias("r")
     return rows.groupBy("item_id").agg(first).select("item_id", "r.*")
 
@@ -91,7 +91,7 @@ def rejected_items(items: DataFrame, t: float = SIMILARITY, k: int = K) -> DataF
     is only seen through its first item not yet rejected, as it can't have
     more than one accepted item; so copies are never paired with each other.
     """
-    sketch = setjoin.rarity(items, "item_text", text_windows, k)
+    sketch = setjoin.rarity(items, "item_text", "text", k)
     table = staged(pivot_table(items, sketch, k, t), "table")
     near = staged(near_texts(table, items, t, k), "near")
     links = near.unionByName(near.select(F.col("key_r").alias("key_l"), F.col("key_l").alias("key_r")))

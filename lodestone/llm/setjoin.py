@@ -13,29 +13,57 @@ the join small.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import token_codes, windows, word_codes, words
+
 SKETCH_BITS = 18
 _SHIFT = np.uint64(64 - SKETCH_BITS)
 
-Windows = Callable[[object, int], np.ndarray]
 
 
-def rarity(df: DataFrame, column: str, windows: Windows, k: int) -> np.ndarray:
-    """Document counts of the windows of df[column], by hash bucket (2**SKETCH_BITS of them)."""
+def _codes(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the members of all values of a column, one after another, and how many each value has."""
+    if kind == "tokens":
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        flat = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False)
+        return token_codes(flat), sizes.astype(np.int64)
+    found = [words(t) for t in column.to_pylist()]
+    return word_codes([w for ws in found for w in ws]), np.array([len(ws) for ws in found], np.int64)
+
+
+def _distinct(column: pa.Array, kind: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the different k-windows of each value, by row, then hash."""
+    codes, sizes = _codes(column, kind)
+    h = windows(codes, k)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    whole = np.arange(len(h)) + k <= ends[: len(h)]
+    h, row = h[whole], row[: len(h)][whole]
+    by = np.lexsort((h, row))
+    h, row = h[by], row[by]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], row[new]
+
+
+def rarity(df: DataFrame, column: str, kind: str, k: int) -> np.ndarray:
+    """Document counts of the windows of df[column], by hash bucket (2**SKETCH_BITS of them).
+
+    kind is "text" (windows of words) or "tokens" (of the members of an array).
+    """
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                if x is not None:
-                    np.add.at(total, (np.unique(windows(x, k)) >> _SHIFT).astype(np.int64), 1)
+            h, _ = _distinct(b.column(0), kind, k)
+            total += np.bincount((h >> _SHIFT).astype(np.int64), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["bucket", "n"])
 
@@ -51,7 +79,7 @@ def prefix_length(n: int, t: float) -> int:
     return n - math.ceil(t * n - 1e-9) + 1 if n else 0
 
 
-def with_prefixes(df: DataFrame, column: str, windows: Windows, k: int, t: float, sketch: np.ndarray, extra: tuple | None = None) -> DataFrame:
+def with_prefixes(df: DataFrame, column: str, kind: str, k: int, t: float, sketch: np.ndarray, extra: tuple | None = None) -> DataFrame:
     """df without the column; with set_key, n and prefix (windows, rarest first) of its set.
 
     set_key is a 128-bit hash of the set, equal for equal sets. All three are
@@ -66,21 +94,21 @@ def with_prefixes(df: DataFrame, column: str, windows: Windows, k: int, t: float
     def run(batches):
         order = bsketch.value
         for b in batches:
-            keys, ns, prefixes, more = [], [], [], []
-            for x in b.column(at).to_pylist():
-                w = np.unique(windows(x, k)) if x is not None else ()
-                if not len(w):
-                    keys.append(None), ns.append(None), prefixes.append(None), more.append(None)
-                    continue
-                by = np.lexsort((w, order[(w >> _SHIFT).astype(np.int64)]))[: prefix_length(len(w), t)]
-                keys.append(xxhash.xxh3_128_hexdigest(w.tobytes())), ns.append(len(w)), prefixes.append(w[by].view(np.int64))
-                more.append(extra[3](w) if extra else None)
-            cols = [c for i, c in enumerate(b.columns) if i != at]
-            made = [pa.array(keys, pa.string()), pa.array(ns, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            h, row = _distinct(b.column(at), kind, k)
+            n = np.bincount(row, minlength=b.num_rows)
+            start = np.concatenate([[0], np.cumsum(n)])
+            sets = [h[a:z] if z > a else None for a, z in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+            keys = [None if w is None else xxhash.xxh3_128_hexdigest(w.tobytes()) for w in sets]
+            by = np.lexsort((h, order[(h >> _SHIFT).astype(np.int64)], row))
+            size = np.where(n > 0, n - np.ceil(t * n - 1e-9).astype(np.int64) + 1, 0)
+            picked = h[by][np.arange(len(h)) - start[row] < size[row]].view(np.int64)
+            none = np.append(n == 0, False)
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32(), mask=none), pa.array(picked, pa.int64()))
+            made = [pa.array(keys, pa.string()), pa.array(n, pa.int32(), mask=n == 0), prefix]
             names = [*keep, "set_key", "n", "prefix"]
             if extra:
-                made, names = [*made, pa.array(more, extra[2])], [*names, extra[0]]
-            yield pa.RecordBatch.from_arrays([*cols, *made], names)
+                made, names = [*made, pa.array([None if w is None else extra[3](w) for w in sets], extra[2])], [*names, extra[0]]
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), *made], names)
 
     return df.mapInArrow(run, f"{schema}, set_key string, n int, prefix array<bigint>" + (f", {extra[0]} {extra[1]}" if extra else ""))
 

@@ -80,13 +80,12 @@ def cross_split_pairs(df: DataFrame, key: str, split: str, value: str, kind: str
     and repeated deliveries of a key count once. match is "exact", "same" (equal
     window sets) or "near". Equal sets are joined once for all their rows.
     """
-    windows = text_windows if kind == "text" else token_windows
     label = F.lower(F.trim(F.regexp_replace(F.col(split), r"^\s+|\s+$", "")))
     digest = F.lower(F.col(exact)) if exact else F.lit(None).cast("string")
     where = F.col(source) if source else F.lit(None).cast("string")
     base = df.select(F.col(key).alias("key"), label.alias("split"), digest.alias("digest"), where.alias("source"), F.col(value).alias("value")).filter(F.col("key").isNotNull() & F.col("split").isin(TRAINING, *EVALUATION))
-    sketch = setjoin.rarity(base, "value", windows, k)
-    rows = setjoin.with_prefixes(base, "value", windows, k, t, sketch)
+    sketch = setjoin.rarity(base, "value", kind, k)
+    rows = setjoin.with_prefixes(base, "value", kind, k, t, sketch)
     rows = staged(rows.groupBy("key").agg(F.min(F.struct("split", "digest", "source", "set_key", "n", "prefix")).alias("r")).select("key", "r.*"), "rows")
     train, held = rows.filter(F.col("split") == TRAINING), rows.filter(F.col("split") != TRAINING)
 

@@ -68,8 +68,14 @@ def text_windows(text: str | None, k: int) -> np.ndarray:
     return windows(word_codes(words(text)), k)
 
 
+def token_codes(tokens: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each token id."""
+    with np.errstate(over="ignore"):
+        return mix(tokens.astype(np.int64).astype(np.uint64) + _MULT)
+
+
 def token_windows(tokens, k: int) -> np.ndarray:
-    """Hashes of the runs of k token ids, in order; none for null."""
+    """Hashes of the runs of k token ids, in order; none for null. A null id counts as -1."""
     if tokens is None:
         return np.empty(0, np.uint64)
-    return windows(mix(np.asarray(tokens, dtype=np.int64).astype(np.uint64) + _MULT), k)
+    return windows(token_codes(np.array([-1 if t is None else t for t in tokens], np.int64)), k)
