@@ -83,7 +83,7 @@ def utf8_automaton():
             if bad is None or bad == c:
                 continue
             # Letters of one alphabet, or a letter and common punctuation, stand in correct text too.
-            weak = (len(bad) == 2 and bad[1] in _PLAIN) or (bad.isalpha() and len({_alphabet(x) for x in bad}) == 1)
+            weak = (len(bad) == 2 and bad[1] in _PLAIN) or (bad.isalpha() and len({_alphabet(x) for x in bad}) == 1 and not any(x.islower() and y.isupper() for x, y in zip(bad, bad[1:], strict=False)))
             table.setdefault(bad, []).append((enc, c, weak))
     machine = ahocorasick.Automaton()
     for bad, how in table.items():
@@ -133,7 +133,7 @@ def _utf8_spans(text: str) -> list[tuple[int, int, str]]:
         if enc is None:
             continue
         weak = next(w for e, _, w in how if e == enc) and not _mid_word(text, at)
-        if weak and not _beside(text, at, bad, enc) and (at == 0 or text[at - 1].isupper() or not sure.get(enc)):
+        if weak and not _beside(text, at, bad, enc) and ((at > 0 and text[at - 1].isupper()) or not sure.get(enc)):
             # Alone, it counts after a space, digit or small letter, where no capital ends a word.
             lone = at > 0 and (text[at - 1].isspace() or text[at - 1].isdigit() or text[at - 1].islower())
             if not (lone and (bad[0] in "ÃÂ" or (bad[0] in "ÐÑ" and _CYRILLIC.search(text)))):

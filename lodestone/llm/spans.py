@@ -99,14 +99,6 @@ def segments(docs: DataFrame, span: int, gram: int) -> DataFrame:
             docs_, hs, ps = [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at, h = anchors(points(t), span, gram)
-                if len(np.unique(h)) < len(h):  # a repeated run: places of equal surroundings count once
-                    seen, keep = set(), []
-                    for i, p in enumerate(at.tolist()):
-                        a, z = _around(len(t), p, span, gram)
-                        key = xxhash.xxh3_128_digest(t[a:z].encode("utf-8", "surrogatepass"))
-                        if key not in seen:
-                            seen.add(key), keep.append(i)
-                    at, h = at[keep], h[keep]
                 docs_.append(np.full(len(at), d, np.int64)), hs.append(h.view(np.int64)), ps.append(at)
             if docs_:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs_), pa.int64()), pa.array(np.concatenate(hs), pa.int64()), pa.array(np.concatenate(ps).astype(np.int32), pa.int32())], ["doc", "anchor", "place"])
@@ -120,17 +112,24 @@ def segments(docs: DataFrame, span: int, gram: int) -> DataFrame:
         for b in batches:
             out = [[] for _ in names]
             for d, t, hs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                seen = set()
                 for h in hs:
                     a, z = _around(len(t), h["place"], span, gram)
                     s = t[a:z]
-                    for o, v in zip(out, (h["anchor"], d, a, z - a, xxhash.xxh3_128_hexdigest(s.encode("utf-8", "surrogatepass")), s), strict=True):
+                    key = xxhash.xxh3_128_hexdigest(s.encode("utf-8", "surrogatepass"))
+                    # Equal surroundings are stated once for a text, their places each time.
+                    for o, v in zip(out, (h["anchor"], d, a, z - a, key, None if key in seen else s), strict=True):
                         o.append(v)
+                    seen.add(key)
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names)
 
     return docs.join(hits, "doc").select("doc", "text", "hits").mapInArrow(cut, "anchor long, doc long, start int, size int, seg_key string, seg string")
 
 
+_NONE = pd.DataFrame({"grp": pd.Series([], dtype="int64"), "seg_key": pd.Series([], dtype=object), "a": pd.Series([], dtype="int32"), "z": pd.Series([], dtype="int32")})
+
+
 def _search(pdf: pd.DataFrame, span: int) -> pd.DataFrame:
     """Within a shard: (grp, seg_key, a, z): which segments share span characters, and where."""
     keys = pdf["seg_key"].tolist()
@@ -139,7 +138,7 @@ def _search(pdf: pd.DataFrame, span: int) -> pd.DataFrame:
     many = hi - lo > 1
     text, place, lo, hi = text[many], place[many], lo[many], hi[many]
     if not len(text):
-        return pd.DataFrame({"grp": [], "seg_key": [], "a": [], "z": []}).astype({"grp": "int64", "seg_key": "str", "a": "int32", "z": "int32"})
+        return _NONE.copy()
     code = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
     # A run's signature: the sum of its texts' codes.
     with np.errstate(over="ignore"):
@@ -153,6 +152,8 @@ def _search(pdf: pd.DataFrame, span: int) -> pd.DataFrame:
         frame = frame[~frame["grp"].isin(np.array(list(alone), np.uint64).view(np.int64))]
     frame = frame.sort_values(["grp", "t", "p"])
     fresh = (frame["grp"] != frame["grp"].shift()) | (frame["t"] != frame["t"].shift()) | (frame["p"] != frame["p"].shift() + 1)
+    if frame.empty:
+        return _NONE.copy()
     g = frame.assign(island=fresh.cumsum()).groupby("island").agg(grp=("grp", "first"), t=("t", "first"), a=("p", "min"), z=("p", "max"))
     return pd.DataFrame({"grp": g["grp"].to_numpy(), "seg_key": [keys[t] for t in g["t"]], "a": g["a"].to_numpy().astype("int32"), "z": (g["z"].to_numpy() + span).astype("int32")})
 
@@ -174,7 +175,7 @@ def shared_passages(documents: DataFrame, key: str = "doc_id", text: str = "text
     copies = ids.join(first, "digest").select(F.col("first").alias("doc"), F.col("doc").alias("copy"), "digest")
     unique = own.join(copies.filter("doc = copy").select("doc", "digest"), "doc").filter(digest == F.col("digest")).select("doc", "text")
     segs = staged(segments(unique.dropDuplicates(["doc"]), span, gram), "segs")
-    kinds = segs.groupBy("anchor", "seg_key").agg(F.first("seg").alias("seg"))
+    kinds = segs.groupBy("anchor", "seg_key").agg(F.max("seg").alias("seg"))
     per = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     several = staged(kinds.join(per, "anchor"), "kinds")
     shards = max(1, -(-several.count() // SHARD))
@@ -191,6 +192,10 @@ def shared_passages(documents: DataFrame, key: str = "doc_id", text: str = "text
     runs = placed.groupBy("shard").applyInPandas(search, "grp long, seg_key string, a int, z int")
     at = segs.select("seg_key", "doc", "start", "size")
     found = runs.join(at, "seg_key").select(F.col("grp").cast("string").alias("grp"), "doc", (F.col("start") + F.col("a")).alias("start"), (F.col("z") - F.col("a")).alias("size"))
+    # Places that repeat within one document only aren't shared.
+    found = staged(found, "found")
+    two = found.groupBy("grp").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z").select("grp")
+    found = found.join(two, "grp")
     # Equal segments share all of their characters.
     same = at.filter(F.col("size") >= span).groupBy("seg_key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z").select("seg_key")
     equal = at.join(same, "seg_key").select(F.col("seg_key").alias("grp"), "doc", "start", "size")
