@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import plain_unions
 from .registry import query
 
 # White space and word characters as Python's re takes them, in a form that both engines read alike.
@@ -120,6 +121,7 @@ _TABLE = re.compile(r"@(\w+)")
 
 def spark_sql(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     """Run SQL over the parquet tables of a folder, read where they stand."""
+    plain_unions(spark)
     made = {}
     for t in set(_TABLE.findall(sql)):
         made[t] = f"lodestone_{zlib.crc32(sf.encode()):08x}_{t}"

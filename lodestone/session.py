@@ -43,6 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Turn off unions that zip their sides' partitions.
+
+    With adaptive execution the sides can end with different numbers of
+    partitions, and the query then fails ("Can't zip RDDs").
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to the shared folder and read it again.
 
@@ -51,6 +60,7 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     ``staged_at``; drop_stage removes it once nothing reads it any more.
     """
     spark = df.sparkSession
+    plain_unions(spark)
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
