@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import plain_unions
 from . import answers, batches, encoding, leaks, mixing, packing, pieces, spans, splits
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    plain_unions(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
