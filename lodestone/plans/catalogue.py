@@ -9,4 +9,4 @@ from .registry import QUERIES, SQL  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return QUERIES["flagship_corpus_report"](spark, sf)
+    return QUERIES["flagship_commitment_report"](spark, sf)

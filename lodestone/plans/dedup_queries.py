@@ -227,15 +227,47 @@ def g3(d):
       select kind, width, h as sha256, count(distinct id) as prompts from e group by 1, 2, 3"""
 
 
+def commitment_hits(d, texts, key, found=", cm.id, cm.g"):
+    """Runs of texts, a relation of key and text, that are commitments of prompts (hit: key, id, g), of every width that prompts have.
+
+    As in g3 a prompt of under 8 words commits itself whole, a longer one its 8-word spans.
+    """
+    w = lambda x: d.split(ws(d, fold_(x)), " ")
+    n, cut = d.size("w"), d.part("w", *(("cast(si as int)", "cast(width as int)") if d.spark else ("si", "width")))
+    runs = f"case when {n} >= width then {d.distinct(d.map(d.seq('1', d.int(f'{n} - width + 1')), 'si', d.join(cut, ' ')))} else {d.empty()} end"
+    return f"""pw as (select distinct id, {w('prompt')} as w from @prompts where prompt is not null),
+      cm as (select id, {n} as width, {d.join('w', ' ')} as g from pw where {n} < 8 and {d.join('w', ' ')} <> ''
+        union all select distinct id, {d.int('8')}, g from (select id, {d.explode(grams(d, 'w', 8, ' '))} as g from pw) q),
+      wd as (select distinct width from cm), tw as (select {key}, {w('text')} as w from {texts} x),
+      tg as (select /*+ broadcast(wd) */ {key}, {d.explode(runs)} as g from tw cross join wd),
+      hit as (select distinct tg.{key}{found} from tg join cm on tg.g = cm.g)"""
+
+
+_RECORDS = "(select record_id, text from @retrieved_source_records where text is not null)"
+
+
+@relational("g4_commitment_scan")
+def g4_whole(d):
+    """Records that hold a commitment of a prompt (a whole short one, or an 8-word span), with the number of commitments and prompts."""
+    return f"with {commitment_hits(d, _RECORDS, 'record_id')} select record_id, count(distinct g) as spans, count(distinct id) as prompts from hit group by 1"
+
+
+@relational("g5_commitment_summary")
+def g5_whole(d):
+    """Records scanned and matched for commitments of every width, by source; any match rejects the record."""
+    return f"""with {commitment_hits(d, _RECORDS, 'record_id')}, m as (select distinct record_id from hit), r as (select record_id, max(endpoint) as endpoint from @retrieved_source_records where text is not null group by 1)
+      select endpoint, count(*) as scanned, {d.int('sum(case when m.record_id is null then 0 else 1 end)')} as rejected from r left join m on r.record_id = m.record_id group by 1"""
+
+
 @relational("g4_span_scan")
 def g4(d):
-    """Records that hold an 8-word span of a prompt, with the number of spans and prompts."""
+    """Records that hold an 8-word span of a prompt, with the number of spans and prompts. Shorter prompts: g4_commitment_scan."""
     return f"with {span_hits(d)} select record_id, count(distinct h) as spans, count(distinct id) as prompts from hit group by 1"
 
 
 @relational("g5_scan_summary")
 def g5(d):
-    """Records scanned and matched, by source; any match rejects the record."""
+    """Records scanned and matched for 8-word spans, by source; any match rejects the record. Shorter prompts: g5_commitment_summary."""
     return f"""with {span_hits(d)}, m as (select distinct record_id from hit), r as (select record_id, max(endpoint) as endpoint from @retrieved_source_records where text is not null group by 1)
       select endpoint, count(*) as scanned, {d.int('sum(case when m.record_id is null then 0 else 1 end)')} as rejected from r left join m on r.record_id = m.record_id group by 1"""
 
@@ -317,16 +349,26 @@ def g12(d):
     return f"with x as (select id, {h} as a from @prompts), y as (select id, {d.sha(norm(d, 'trim(prompt)'))} as b from @prompts) select coalesce(x.id, y.id) as id, coalesce(a = b, false) as consistent from x full outer join y on x.id = y.id"
 
 
-def flagship(d):
-    """Per source: documents, accepted, first of their text, and free of prompt spans."""
-    g = lambda x: grams(d, d.split(ws(d, fold_(x)), " "), 8, " ")
+def _report(d, hits):
     # The filter stays above the window: pushed below, it would repeat the gate's work in its condition.
     first = f"row_number() over (partition by case when reason is null then {d.sha(norm(d, 'text'))} else cast(doc_id as varchar(20)) end order by doc_id)"
     return f"""{gate(d)}, b as (select doc_id, source, text, reason, {first} as r from gated), a as (select doc_id, source, text, r from b where reason is null),
-      p as (select distinct {d.explode(g('prompt'))} as g from @prompts where prompt is not null),
-      e as (select doc_id, {d.explode(g('text'))} as g from a where r = 1), hit as (select distinct e.doc_id from e join p on e.g = p.g)
+      {hits}
       select x.source, count(*) as n_docs, count(a.doc_id) as accepted, {d.int('sum(case when a.r = 1 then 1 else 0 end)')} as first_of_text, {d.int('sum(case when a.r = 1 and hit.doc_id is null then 1 else 0 end)')} as clean
       from @documents x left join a on x.doc_id = a.doc_id left join hit on x.doc_id = hit.doc_id group by 1"""
 
 
+def flagship(d):
+    """Per source: documents, accepted, first of their text, and free of 8-word prompt spans. Shorter prompts: flagship_commitment_report."""
+    g = lambda x: grams(d, d.split(ws(d, fold_(x)), " "), 8, " ")
+    return _report(d, f"""p as (select distinct {d.explode(g('prompt'))} as g from @prompts where prompt is not null),
+      e as (select doc_id, {d.explode(g('text'))} as g from a where r = 1), hit as (select distinct e.doc_id from e join p on e.g = p.g)""")
+
+
 relational("flagship_corpus_report")(flagship)
+
+
+@relational("flagship_commitment_report")
+def flagship_whole(d):
+    """Per source: documents, accepted, first of their text, and free of prompts' commitments of every width."""
+    return _report(d, commitment_hits(d, "(select doc_id, text from a where r = 1)", "doc_id", ""))
