@@ -190,10 +190,13 @@ CYRILLIC = (("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("cp866", "cp1252"), ("c
 # Letters that Western texts are written with.
 _LATIN = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜŒ")
 _MARKS = set("“”‘’„‚–—…«»€×°¿¡£§©®·")
+# Signs that join or follow small letters in correct text, so that they are no evidence alone.
+_JOINING = set("’‘“”·'­–—…•™†‡®©°‹›/")
 
 
 @cache
-def _western() -> list[tuple[str, str, dict[str, str], re.Pattern]]:
+def _western() -> list[tuple[str, str, dict[str, str], re.Pattern, re.Pattern]]:
+    """(true, wrong, table, forms of evidence, the form of which one place is enough)."""
     out = []
     for true, wrong in WESTERN:
         table = {bad: good for bad, good in _pair(true, wrong).items() if good in _LATIN | _MARKS}
@@ -230,7 +233,10 @@ def _western() -> list[tuple[str, str, dict[str, str], re.Pattern]]:
             forms += [rf"\d ?[{times}] ?\d"]
         if degree:
             forms += [rf"\d ?[{degree}][CF]\b"]
-        out.append((true, wrong, table, re.compile("|".join(forms))))
+        odd = "".join(re.escape(b) for b in letters - _JOINING if b.isupper() or not b.isalpha() or _alphabet(b) == "GREEK")
+        alone = [rf"[{low}]{{2}}[{odd}][{low}]|[{low}][{odd}][{low}]{{2}}"]
+        form = re.compile("|".join(alone + forms))
+        out.append((true, wrong, table, form, form if "mac_roman" in (true, wrong) else re.compile(alone[0])))
     return out
 
 
@@ -270,17 +276,24 @@ def _single_byte(text: str) -> tuple[str, bool]:
             table = best[1]
             fix = lambda m: "".join(table.get(c, c) for c in m.group())
             return re.sub(r"(?<![A-Za-z])[¡-˿Ѐ-ӿ─-■]++(?![A-Za-z])", fix, text), True
-    best = None
-    for *pair, table, form in _western():
-        found = len(form.findall(text))
-        if found >= (1 if "mac_roman" in pair else 2) and (best is None or found > best[0]):
-            best = found, table, form
-    if best is None:
-        return text, False
-    # Sentences that hold evidence are restored whole, others are left as they are.
-    _, table, form = best
-    parts = re.split(r"(?<=[.!?\n])(\s+)", text)
-    return "".join("".join(table.get(c, c) for c in x) if form.search(x) else x for x in parts), True
+    now, seen = text, set()
+    while True:
+        best = None
+        for _, _, table, form, alone in _western():
+            # Evidence that an earlier pair explains isn't another one's.
+            new = {c: g for c, g in table.items() if c not in seen}
+            proof = [m for m in form.findall(now) if any(c in new for c in m)]
+            # Two places count if not all their signs are such as join words in correct text.
+            enough = any(c in new for m in alone.findall(now) for c in m) or (len(proof) >= 2 and any(c in new and c not in _JOINING for m in proof for c in m))
+            if enough and (best is None or len(proof) > best[0]):
+                best = len(proof), new, form
+        if best is None:
+            return now, bool(seen)
+        # Sentences that hold evidence are restored whole, others are left as they are.
+        _, new, form = best
+        seen |= set(new)
+        parts = re.split(r"(?<=[.!?\n])(\s+)", now)
+        now = "".join("".join(new.get(c, c) for c in x) if any(c in new for m in form.findall(x) for c in m) else x for x in parts)
 
 
 _LOST = re.compile("[�\u0080-\u0084\u0086-\u009f]")
