@@ -260,6 +260,26 @@ def _likeness(ws: list[str]) -> float:
     return total / n if n else 0.0
 
 
+def _latin_looking(text: str) -> dict[str, str] | None:
+    """The table of the pair that makes the accented words of a sentence Russian, if one does; Cyrillic words don't count.
+
+    Fewer letters than 10 count only with a word of 5 accented letters or more.
+    """
+    ws = [w for w in _WORDS.findall(text) if any(c.isalpha() for c in w) and not any("Ѐ" <= c <= "ӿ" for c in w)]
+    best = None
+    for (_, wrong), (_, _, table) in zip(CYRILLIC, _cyrillic(), strict=True):
+        own = [w for w in ws if all(c in table for c in w)]
+        n, good = sum(map(len, own)), ["".join(table[c] for c in w) for w in own]
+        if wrong not in ("cp1252", "mac_roman") or n * 2 < sum(map(len, ws)) or not any(len(w) >= 4 for w in own):
+            continue
+        if n < 10 and not any(len(w) >= 5 and g.islower() and all("À" <= c <= "ÿ" for c in w) for w, g in zip(own, good, strict=True)):
+            continue
+        like = _likeness(good)
+        if like > 4.0 and (best is None or like > best[0]):
+            best = like, table
+    return best[1] if best else None
+
+
 def _single_byte(text: str) -> tuple[str, bool]:
     """Text with the characters of one-byte pairs restored, and whether there was evidence of one."""
     ws = [w for w in _WORDS.findall(text) if any(c.isalpha() for c in w)]
@@ -276,6 +296,13 @@ def _single_byte(text: str) -> tuple[str, bool]:
             table = best[1]
             fix = lambda m: "".join(table.get(c, c) for c in m.group())
             return re.sub(r"(?<![A-Za-z])[¡-˿Ѐ-ӿ─-■]++(?![A-Za-z])", fix, text), True
+    # Other texts are judged sentence by sentence; only words that the pair explains whole are restored.
+    parts, hit = re.split(r"(?<=[.!?\n])(\s+)", text), False
+    for i, x in enumerate(parts):
+        if not x.isascii() and (table := _latin_looking(x)):
+            hit, parts[i] = True, _WORDS.sub(lambda m: "".join(table[c] for c in m.group()) if all(c in table for c in m.group()) else m.group(), x)  # noqa: B023
+    if hit:
+        return "".join(parts), True
     now, seen = text, set()
     while True:
         best = None

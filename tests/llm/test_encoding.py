@@ -15,3 +15,21 @@ def test_single_place(bad, good):
 @pytest.mark.parametrize("text", ["wait…what…now", "He said “yes”and “no”or left."])
 def test_joining_signs_are_left(text):
     assert encoding.restore(text)[:2] == (False, text)
+
+
+RUSSIAN = "Старые башни города видели все реки и леса этой большой страны. "
+
+
+@pytest.mark.parametrize("true", ["cp1251", "koi8_r"])
+def test_one_garbled_sentence_of_correct_text(true):
+    bad = "все красивые реки города видели.".encode(true).decode("cp1252")
+    assert encoding.restore(RUSSIAN * 5 + bad + " " + RUSSIAN)[:2] == (True, RUSSIAN * 5 + "все красивые реки города видели. " + RUSSIAN)
+
+
+def test_one_garbled_word():
+    assert encoding.restore("The word " + "города".encode("cp1251").decode("cp1252") + " means of the town.")[:2] == (True, "The word города means of the town.")
+
+
+@pytest.mark.parametrize("text", [RUSSIAN * 3 + "Ânes, île, œuvre. Да.", "Това е България. Її звуть Їжак.", "ÀÉÎ à é î", "Þórður á Íslandi"])
+def test_correct_sentences_are_left(text):
+    assert encoding.restore(text)[:2] == (False, text)
