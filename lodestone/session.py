@@ -72,9 +72,13 @@ def drop_stage(df: DataFrame) -> None:
     """Remove a staged table that is no longer read."""
     path = getattr(df, "staged_at", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def rows_within(df: DataFrame, most: int) -> bool:
