@@ -90,6 +90,42 @@ def test_batches(spark):
     assert batches.rejected_items(df.limit(0)).count() == 0
 
 
+def batch_rows(n, batch):
+    out = []
+    for i in range(n):
+        text = sentence(30) if not out or rng.random() < 0.4 else edited(rng.choice(out)[3], rng.randrange(4))
+        out.append((batch, 1000 * batch + i, f"{rng.randrange(10**6):064x}", text))
+    return out
+
+
+@pytest.mark.parametrize("last", [100_000, 0])
+def test_batches_one_by_one(spark, tmp_path, last, monkeypatch):
+    """Batches appended one after another to the stored table, when history's texts are gone, give what one pass gives."""
+    monkeypatch.setattr(batches, "LAST", last)
+    import shutil
+
+    hist = [(0, i, f"{i:064x}", sentence(30)) for i in range(8)]
+    new = [[*batch_rows(9, b), (b, 1000 * b + 500, hist[b][2].upper(), None), (b, 1000 * b + 501, None, edited(hist[b][3], 1))] for b in (1, 2)]
+    schema = "batch_no int, item_id long, fingerprint string, item_text string"
+    spark.createDataFrame(hist, schema).write.parquet(f"{tmp_path}/history")
+    table = batches.PivotTable(spark, f"{tmp_path}/table").create(spark.read.parquet(f"{tmp_path}/history"))
+    shutil.rmtree(f"{tmp_path}/history")
+    got = set()
+    for b, rows in enumerate(new):
+        got |= {(r.item_id, r.dup_item_id) for r in table.append(spark.createDataFrame(rows, schema), str(b + 1)).collect()}
+    want = brute_rejected(hist + [r for rows in new for r in rows])
+    assert got == want and len(want) > 4
+    kept = {r.item_id for r in spark.read.parquet(f"{tmp_path}/table/sets").collect()}
+    assert kept and not kept & {j for _, j in want}
+
+
+def test_large_text_in_the_table(spark):
+    """A text of more windows than a 16-bit number counts."""
+    long = " ".join(f"x{i}" for i in range(40_000))
+    df = spark.createDataFrame([(0, 1, None, long), (1, 2, None, long + " y"), (1, 3, None, "a b")], "batch_no int, item_id long, fingerprint string, item_text string")
+    assert [(r.item_id, r.dup_item_id) for r in batches.rejected_items(df).collect()] == [(1, 2)]
+
+
 def test_splits(spark):
     base = [sentence(16) for _ in range(4)]
     rows = [(f"e{i:03d}", rng.choice(["train", " TRAIN", "Test ", "validation", None, "dev"]), rng.choice([rng.choice(base), edited(rng.choice(base), 1), None, "", "a b"])) for i in range(90)]
@@ -101,6 +137,15 @@ def test_splits(spark):
     assert got == want and want
 
 
+def test_moved_parts(spark):
+    """Texts with moved parts are found by their windows, others by their alignment."""
+    a, b = " ".join(VOCABULARY[:30]), " ".join(VOCABULARY[30:])
+    rows = [("t", "train", f"{a} {b}"), ("m", "test", f"{b} {a}"), ("n", "test", f"{a} {b} more")]
+    df = spark.createDataFrame(rows, "example_id string, split string, instruction string")
+    got = {(r.eval_key, r.match) for r in splits.cross_split_pairs(df, "example_id", "split", "instruction", "text", 3, 0.5).collect()}
+    assert got == {("m", "moved"), ("n", "near")}
+
+
 def test_token_splits_with_nulls(spark):
     t = list(range(20))
     rows = [("a", "train", "AA", t, 1), ("b", "test", "aa", None, 1), ("c", "test", None, t[:-1] + [None], 1), ("d", "validation", None, [], 1), ("e", "test", "bb", t, 1)]
@@ -116,6 +161,8 @@ def test_banded_edits(a, b):
     for i in range(1, len(a) + 1):
         for j in range(1, len(b) + 1):
             d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+    got = splits.alignment(a, b, 18)
+    assert all(a[i : i + n] == b[j : j + n] for i, j, n in got[1]) and sum(n for *_, n in got[1]) >= max(len(a), len(b)) - d[-1][-1]
     for most in (0, 2, 9):
         assert splits.banded_edits(a, b, most) == (d[-1][-1] if d[-1][-1] <= most else None)
 
