@@ -1,4 +1,12 @@
-"""A compressed FM-index: suffix order, wavelet tree and vectorized backward search."""
+"""A compressed FM-index of a shard of texts, and the matching statistics of other texts against it.
+
+Kept are the Burrows-Wheeler transform in a wavelet tree of packed bits, every
+RATE-th place of the texts, and the lengths of the prefixes that neighbouring
+suffixes share (one or two bytes each, cut off at the length asked for). The
+texts and their suffix array are dropped after the construction; texts are
+streamed through the index by backward search, and places are found by walking
+back to a kept one.
+"""
 
 from __future__ import annotations
 
@@ -27,6 +35,17 @@ class WaveletTree:
         mask = (np.uint64(1) << bit) - np.uint64(1)
         return self.counts[level][word] + np.bitwise_count(self.words[level][word] & mask)
 
+    def step(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place, and how often it stands before."""
+        lo, hi, symbol = np.zeros_like(at), at.copy(), np.zeros_like(at)
+        for i in range(self.levels):
+            one = (self.words[i][hi >> 6] >> (hi & 63).astype(np.uint64)) & np.uint64(1) == 1
+            a, b = self._ones(i, lo), self._ones(i, hi)
+            lo = np.where(one, self.zeros[i] + a, lo - a)
+            hi = np.where(one, self.zeros[i] + b, hi - b)
+            symbol = symbol << 1 | one
+        return symbol, hi - lo
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place."""
         lo, hi = np.zeros_like(at), at.copy()
@@ -59,76 +78,129 @@ def suffix_array(values: np.ndarray) -> np.ndarray:
         k *= 2
 
 
+def shared_prefixes(symbols: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """For each suffix of an order, the length of the prefix it shares with the one before, up to most; separators (0) end it."""
+    length = np.zeros(len(order), np.int64)
+    live = np.arange(1, len(order))
+    for i in range(most):
+        x, y = order[live - 1] + i, order[live] + i
+        ok = (x < len(symbols)) & (y < len(symbols))
+        live, x, y = live[ok], x[ok], y[ok]
+        live = live[(symbols[x] == symbols[y]) & (symbols[x] > 0)]
+        if not len(live):
+            break
+        length[live] = i + 1
+    return length
+
+
 class FMIndex:
-    """Index of several texts (arrays of code points), each ended by a separator of its own."""
+    """Index of several texts (arrays of code points) for matches of ``span`` characters."""
+
+    RATE = 16
 
     def __init__(self, texts: list[np.ndarray], span: int):
-        self.span, self.sizes = span, np.array([len(t) for t in texts], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)])[:-1]
+        self.span, sizes = span, np.array([len(t) for t in texts], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         self.alphabet = np.unique(np.concatenate(texts)) if texts else np.empty(0, np.uint32)
-        m, n = len(texts), int(self.sizes.sum()) + len(texts)
-        values, self.symbols = np.empty(n, np.int64), np.zeros(n, np.int64)
-        self.text_of = np.repeat(np.arange(m), self.sizes + 1)
+        m, n = len(texts), int(sizes.sum()) + len(texts)
+        values, symbols = np.empty(n, np.int64), np.zeros(n, np.int64)
         for i, (a, t) in enumerate(zip(self.starts, texts, strict=True)):
             code = np.searchsorted(self.alphabet, t) + 1
-            self.symbols[a : a + len(t)] = code
+            symbols[a : a + len(t)] = code
             values[a : a + len(t)] = m + code
             values[a + len(t)] = i
-        self.sa = suffix_array(values)
-        self.tree = WaveletTree(self.symbols[self.sa - 1], len(self.alphabet) + 1)
-        counts = np.bincount(self.symbols, minlength=len(self.alphabet) + 1)
-        self.first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        self._groups()
-
-    def _groups(self) -> None:
-        """Bounds of the runs of suffixes that share their first ``span`` characters."""
-        n = len(self.sa)
-        lcp = self._shared_prefix()
-        edge = np.concatenate([[True], lcp < self.span, [True]]) if n else np.array([True])
-        at = np.flatnonzero(edge)
-        run = np.cumsum(edge[:n]) - 1
-        self.run_lo, self.run_hi = at[run], at[run + 1]
-
-    def _shared_prefix(self) -> np.ndarray:
-        """For neighbours in the order, the length of their shared prefix, up to span."""
-        a, b = self.sa[:-1], self.sa[1:]
-        length = np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
-        for i in range(self.span):
-            x, y = a[live] + i, b[live] + i
-            ok = (x < len(self.symbols)) & (y < len(self.symbols))
-            live, x, y = live[ok], x[ok], y[ok]
-            same = (self.symbols[x] == self.symbols[y]) & (self.symbols[x] > 0)
-            live = live[same]
-            if not len(live):
-                break
-            length[live] = i + 1
-        return length
-
-    def matching_runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics of all texts, cut off at span, where they reach it.
-
-        The texts are read backward side by side; each step is one backward
-        search step over the wavelet tree. Returns text, place, and bounds of the
-        suffixes that start with the text's span characters at that place.
+        order, self.n = suffix_array(values) if n else np.empty(0, np.int64), n
+        self.tree = WaveletTree(symbols[order - 1], len(self.alphabet) + 1)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=len(self.alphabet) + 1))])[:-1]
+        # Kept places: each RATE-th, and the first of each text, before which no walk goes.
+        marked = (order % self.RATE == 0) | np.isin(order, self.starts)
+        self.marks, self.kept = np.packbits(marked), order[marked].astype(np.int32)
+        self.before = np.concatenate([[0], np.cumsum(np.add.reduceat(marked.astype(np.int64), np.arange(0, n, 64)))]) if n else np.zeros(1, np.int64)
+        # Shared lengths + 1, with 0 at both ends; level k has the least of each 2**k neighbours.
+        lcp = np.zeros(n + 1, np.uint8 if span < 255 else np.uint32)
+        lcp[1:n] = shared_prefixes(symbols, order, span)[1:] + 1
+        self.least = [lcp]
+        while 2 << (len(self.least) - 1) <= n + 1:
+            x, half = self.least[-1], 1 << (len(self.least) - 1)
+            self.least.append(np.minimum(x[:-half], x[half:]))
+
+    def _widen(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of all suffixes that share their first ``length`` characters with those within lo and hi."""
+        lo, hi = lo.copy(), hi.copy()
+        for k in range(len(self.least) - 1, -1, -1):
+            x, size = self.least[k], 1 << k
+            at = lo - size + 1
+            go = (at >= 0) & (x[np.maximum(at, 0)] > length)
+            lo[go] -= size
+            go = (hi < len(x)) & (x[np.minimum(hi, len(x) - 1)] > length)
+            hi[go] += size
+        return lo, hi
+
+    def _marked(self, rows: np.ndarray) -> np.ndarray:
+        return (self.marks[rows >> 3] >> (7 - (rows & 7)).astype(np.uint8)) & 1 == 1
+
+    def locate(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text and place of suffixes, by walking back to a kept place."""
+        at, walked, out = rows.copy(), np.zeros(len(rows), np.int64), np.empty(len(rows), np.int64)
+        live = np.arange(len(rows))
+        while len(live):
+            done = self._marked(at[live])
+            rows_ = at[live[done]]
+            # Which of the kept places it is: marks before the block of 64, and within it.
+            within = np.unpackbits(self.marks[np.minimum((rows_ >> 6 << 3)[:, None] + np.arange(8), len(self.marks) - 1)], axis=1)
+            ones = (within * (np.arange(64) < (rows_ & 63)[:, None])).sum(1, dtype=np.int64)
+            out[live[done]] = self.kept[self.before[rows_ >> 6] + ones] + walked[live[done]]
+            live = live[~done]
+            symbol, rank = self.tree.step(at[live])
+            at[live] = self.first[symbol] + rank
+            walked[live] += 1
+        text = np.searchsorted(self.starts, out, side="right") - 1
+        return text, out - self.starts[text]
+
+    def matches(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of texts, where they reach span: text, place, and bounds of the suffixes that start with its span characters.
+
+        The texts are read backward side by side; each step is one step of
+        backward search. Where a match can't be extended it is shortened at its
+        right end to the longest that other suffixes share, and tried again.
         """
-        m = len(self.sizes)
-        lo, hi = np.zeros(m, np.int64), np.full(m, len(self.sa), np.int64)
-        length = np.zeros(m, np.int64)
-        out = []
-        for step in range(int(self.sizes.max()) if m else 0):
-            who = np.flatnonzero(self.sizes > step)
-            place = self.sizes[who] - 1 - step
-            c = self.symbols[self.starts[who] + place]
-            a = self.first[c] + self.tree.rank(c, lo[who])
-            b = self.first[c] + self.tree.rank(c, hi[who])
-            # Widen a match longer than span to all suffixes with the same first span characters.
-            n = length[who] + 1
-            full = n >= self.span
-            a, b = np.where(full, self.run_lo[a], a), np.where(full, self.run_hi[a], b)
-            lo[who], hi[who], length[who] = a, b, np.minimum(n, self.span)
-            if full.any():
-                out.append((who[full], place[full], a[full], b[full]))
+        codes = []
+        for t in texts:
+            at = np.minimum(np.searchsorted(self.alphabet, t), max(0, len(self.alphabet) - 1))
+            codes.append(np.where(self.alphabet[at] == t, at + 1, 0) if len(self.alphabet) else np.zeros(len(t), np.int64))
+        flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
+        sizes = np.array([len(c) for c in codes], np.int64)
+        start = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
+        lo, hi = np.zeros(len(texts), np.int64), np.full(len(texts), self.n, np.int64)
+        length, pos = np.zeros(len(texts), np.int64), sizes - 1
+        out, live = [], np.flatnonzero(pos >= length)
+        while len(live):
+            c = flat[start[live] + pos[live]]
+            a = self.first[c] + self.tree.rank(c, lo[live])
+            b = self.first[c] + self.tree.rank(c, hi[live])
+            ok = (c > 0) & (a < b)
+            up = live[ok]
+            lo[up], hi[up], length[up] = a[ok], b[ok], length[up] + 1
+            over = up[length[up] > self.span]
+            if len(over):
+                length[over] = self.span
+                lo[over], hi[over] = self._widen(lo[over], hi[over], length[over])
+            full = up[length[up] == self.span]
+            if len(full):
+                out.append((full, pos[full], lo[full], hi[full]))
+            pos[up] -= 1
+            gone = live[~ok & ((c == 0) | (length[live] == 0))]
+            lo[gone], hi[gone], length[gone] = 0, self.n, 0
+            pos[gone] -= 1
+            cut = live[~ok & (c > 0) & (length[live] > 0)]
+            if len(cut):
+                x = self.least[0]
+                length[cut] = np.maximum(np.maximum(x[lo[cut]], x[hi[cut]]).astype(np.int64) - 1, 0)
+                lo[cut], hi[cut] = self._widen(lo[cut], hi[cut], length[cut])
+                none = cut[length[cut] == 0]
+                lo[none], hi[none] = 0, self.n
+            # What is left must be able to reach the span.
+            live = live[(pos[live] >= 0) & (pos[live] + 1 + length[live] >= self.span)]
         if not out:
             e = np.empty(0, np.int64)
             return e, e, e, e

@@ -79,7 +79,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.sharing_pairs(*spans.shared_passages(_t(spark, d, "documents")))
+    _, links, copies = spans.shared_passages(_t(spark, d, "documents"))
+    return spans.sharing_pairs(links, copies)
+
+
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    _, links, copies = spans.shared_passages(_t(spark, d, "documents"))
+    return spans.sharing_classes(links, copies)
 
 
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
@@ -88,8 +94,9 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents")
-    return spans.sharing_report(docs, *spans.shared_passages(docs))
+    passages, _, copies = spans.shared_passages(docs)
+    return spans.sharing_report(docs, passages, copies)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_restored, p6_found, p7_containers, p7_fills, p8_chosen, p8_shares, p9_found, p9_passages, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_pieces, p4_found, p4_report, p5_found, p5_restored, p6_found, p7_containers, p7_fills, p8_chosen, p8_shares, p9_found, p9_classes, p9_passages, p9_shared)}
 SQL: dict[str, str] = {}

@@ -284,11 +284,39 @@ def test_fm_index():
         assert (tree.rank(np.full(80, c), at) == [(s[:i] == c).sum() for i in at]).all()
     v = np.concatenate([s + 1, [0]])
     assert suffix_array(v).tolist() == sorted(range(len(v)), key=lambda i: v[i:].tolist())
-    texts = ["abcabcab", "zzabcabzz", "q"]
-    text, place, lo, hi = FMIndex([spans.points(t) for t in texts], 4).matching_runs()
+    held, streamed = ["abcabcab", "zzabcabzz", "", "q", "bcab"], ["zabcabq", "", "cabcabcabz", "xyx", "abcabcab"]
+    for rate in (1, 16):
+        FMIndex.RATE = rate
+        index = FMIndex([spans.points(t) for t in held], 4)
+        assert not any(len(np.atleast_1d(x)) > 40 and np.asarray(x).dtype == np.int64 for x in vars(index).values() if isinstance(x, np.ndarray))
+        text, place, lo, hi = index.matches([spans.points(t) for t in streamed])
+        got = {(int(t), int(p)): int(b - a) for t, p, a, b in zip(text, place, lo, hi)}
+        every = [t[i : i + 4] for t in held for i in range(len(t) - 3)]
+        assert got == {(i, j): every.count(t[j : j + 4]) for i, t in enumerate(streamed) for j in range(len(t) - 3) if t[j : j + 4] in every}
+        rows = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
+        t, p = index.locate(rows)
+        want = [streamed[i][j : j + 4] for i, j, a, b in zip(text, place, lo, hi) for _ in range(b - a)]
+        assert [held[i][j : j + 4] for i, j in zip(t, p)] == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab", max_size=30), min_size=1, max_size=5), st.lists(st.text(alphabet="abc", max_size=40), max_size=4))
+def test_matching_statistics(held, streamed):
+    index = FMIndex([spans.points(t) for t in held], 5)
+    text, place, lo, hi = index.matches([spans.points(t) for t in streamed])
+    every = [t[i : i + 5] for t in held for i in range(len(t) - 4)]
     got = {(int(t), int(p)): int(b - a) for t, p, a, b in zip(text, place, lo, hi)}
-    every = [t[i : i + 4] for t in texts for i in range(len(t) - 3)]
-    assert got == {(i, j): every.count(t[j : j + 4]) for i, t in enumerate(texts) for j in range(len(t) - 3)}
+    assert got == {(i, j): every.count(t[j : j + 5]) for i, t in enumerate(streamed) for j in range(len(t) - 4) if t[j : j + 5] in every}
+
+
+def test_spans_need_backward_search(spark, monkeypatch):
+    """Without ranks in the wavelet tree nothing is found."""
+    from lodestone.llm.fmindex import WaveletTree
+
+    monkeypatch.setattr(WaveletTree, "rank", lambda self, symbol, at: np.zeros_like(at))
+    part = sentence(40)
+    a, b = spans.points("left " + part + " one"), spans.points("other " + part + " two")
+    assert not len(FMIndex([a], 40).matches([b])[0])
 
 
 def brute_spans(docs, L):
@@ -304,9 +332,10 @@ def test_shared_spans(spark, hot, monkeypatch):
     docs = {i: sentence(rng.randrange(5, 30)) + rng.choice([p[: rng.randrange(30, len(p))] for p in parts]) + sentence(9) for i in range(40)}
     docs |= {50: docs[1], 51: "a" * 300, 52: "a" * 200, 53: "", 54: "é" * 41 + parts[0], 55: docs[1][:41]}
     df = spark.createDataFrame([(i, t, 1) for i, t in docs.items()] + [(60, None, 1), (None, docs[1], 1), (1, docs[1], 2)], "doc_id long, text string, start int")
-    passages, copies = spans.shared_passages(df, span=40, gram=16)
-    got = {(r.doc_a, r.doc_b) for r in spans.sharing_pairs(passages, copies).collect()}
+    passages, links, copies = spans.shared_passages(df, span=40, gram=16)
+    got = {(r.doc_a, r.doc_b) for r in spans.sharing_pairs(links, copies).collect()}
     assert got == brute_spans(docs, 40)
+    assert {r.doc_id: r.n_copies for r in spans.sharing_classes(links, copies).collect()} == {x: 2 if x in (1, 50) else 1 for p in got for x in p}
     rep = {r.doc_id: r for r in spans.sharing_report(df, passages, copies).collect()}
     assert rep[1].shared_part == 1.0 and set(rep) == {x for p in got for x in p}
     for i in set(rep) - {1, 50}:
