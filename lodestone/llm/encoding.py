@@ -4,14 +4,18 @@ Tables of garbled sequences are computed once per worker, by rule, for all
 pairs of a true and a wrong encoding, and put into one multi-pattern
 automaton. Only matched spans are replaced, so correct text around them stays.
 
-* UTF-8 read as a one-byte encoding: the sequence of each character of the
-  repertoire. Sequences that also occur in correct text (a capital letter and
-  a quotation mark, say) count only beside another one of the same pair.
+* UTF-8 read as a one-byte encoding. The automaton holds what the first two
+  bytes of every character give in each wrong encoding; the bytes after are
+  read back and must end an assigned character. Sequences that also occur in
+  correct text (a capital letter and a quotation mark, say) count only beside
+  another one of the same pair; those of rarer characters that are letters of
+  one alphabet only where they make up their whole word.
 * A one-byte encoding read as another: single characters. They count where
   correct text can't have them (a capital or a symbol within a lower-case
   word, a sign between a number and a unit, a word of accented letters only).
   Once a text has such a place, the other changed characters of the pair are
   restored as well.
+* East Asian two-byte encodings read as Western: long runs without ASCII.
 * Replacement characters, C1 controls and cut sequences: reported, and
   restored only where the sequence is whole.
 """
@@ -20,15 +24,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
+from collections import Counter
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The encodings that text is wrongly read in.
-WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp1257", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8_r")
-MOST_PASSES = 4
+WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "cp1257", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8_r", "cp1253", "cp1255", "cp1256", "cp1258", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_15", "koi8_u")
 
 _BOX = range(0x2500, 0x25A0)
 # Signs that follow letters in correct text.
@@ -48,50 +52,80 @@ def _read(raw: bytes, enc: str) -> str | None:
     return "".join(out)
 
 
-def _repertoire():
-    yield from range(0xA0, 0x180)
-    yield from range(0x218, 0x21C)
-    yield from range(0x300, 0x340)
-    yield from range(0x370, 0x460)
-    yield from range(0x490, 0x492)
-    yield from range(0x2000, 0x2070)
-    yield from range(0x20A0, 0x20C0)
-    yield from range(0x2100, 0x2300)
-    yield from range(0x2500, 0x2800)
-    yield from range(0x3000, 0x3100)
-    yield from range(0x4E00, 0xA000)
-    yield from range(0xFB00, 0xFB07)
-    yield from range(0xFE00, 0xFE10)
-    yield from range(0xFEFF, 0xFF00)
-    yield from range(0xFF01, 0xFF5F)
-    yield from range(0x1F300, 0x1FB00)
+# Ranges of the characters that garbled text of the common kinds stands for; others need more evidence.
+_COMMON = ((0xA0, 0x180), (0x218, 0x21C), (0x300, 0x340), (0x370, 0x460), (0x490, 0x492), (0x2000, 0x2070), (0x20A0, 0x20C0), (0x2100, 0x2300), (0x2500, 0x2800), (0x3000, 0x3100), (0x4E00, 0xA000), (0xFB00, 0xFB07), (0xFE00, 0xFE10), (0xFEFF, 0xFF00), (0xFF01, 0xFF5F), (0x1F300, 0x1FB00))
+_FIRST = len(WRONG) - 9  # the encodings before it are the common ones
+
+
+@cache
+def _byte_tables() -> list[tuple[str, list[str | None], dict[str, int]]]:
+    """For each wrong encoding: the character of each byte, and the byte of each character."""
+    out = []
+    for enc in WRONG:
+        chars = [_read(bytes([b]), enc) for b in range(256)]
+        out.append((enc, chars, {c: b for b, c in enumerate(chars) if c is not None and b > 127}))
+    return out
 
 
 @cache
 def utf8_automaton():
-    """Automaton of garbled sequences; values: (sequence, [(encoding, restored, weak)])."""
+    """Automaton of what the first two bytes of a character of UTF-8 give in the wrong encodings; values: [(encoding's number, length)]."""
     import ahocorasick
 
     table: dict[str, list] = {}
-    for enc in WRONG:
-        for cp in _repertoire():
-            c = chr(cp)
-            if unicodedata.category(c) == "Cn":
-                continue
-            raw = c.encode("utf-8")
-            bad = _read(raw, enc)
-            if bad is None or bad == c:
-                continue
-            # Letters of one alphabet, or a letter and common punctuation, stand in correct text too.
-            weak = (len(bad) == 2 and bad[1] in _PLAIN) or (bad.isalpha() and len({_alphabet(x) for x in bad}) == 1 and not any(x.islower() and y.isupper() for x, y in zip(bad, bad[1:], strict=False)))
-            table.setdefault(bad, []).append((enc, c, weak))
+    for number, (_, chars, _) in enumerate(_byte_tables()):
+        for lead in range(0xC2, 0xF5):
+            size = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            for after in range(0x80, 0xC0):
+                if chars[lead] is not None and chars[after] is not None:
+                    table.setdefault(chars[lead] + chars[after], []).append((number, size))
     machine = ahocorasick.Automaton()
-    for bad, how in table.items():
-        machine.add_word(bad, (bad, how))
+    for start, how in table.items():
+        machine.add_word(start, how)
     machine.make_automaton()
     return machine
 
 
+def _weak(bad: str) -> bool:
+    """Whether a sequence is of such characters as stand together in correct text."""
+    if (len(bad) == 2 or bad[0].isalpha() and ord(bad[0]) > 0x24F) and all(c in _PLAIN for c in bad[1:]):
+        return True
+    return bad.isalpha() and len({_alphabet(x) for x in bad}) == 1 and not any(x.islower() and y.isupper() for x, y in zip(bad, bad[1:], strict=False))
+
+
+_SEQUENCES: dict[str, tuple[str, list]] = {}
+
+
+def _sequence(window: str) -> tuple[str, list]:
+    """The longest garbled sequence at the start of a window of four characters, with [(encoding, restored, weak, rare)]."""
+    got = _SEQUENCES.get(window)
+    if got is None:
+        if len(_SEQUENCES) > 200_000:
+            _SEQUENCES.clear()
+        best: dict[int, list] = {}
+        for number, size in utf8_automaton().get(window[:2], ()):
+            enc, _, back = _byte_tables()[number]
+            bad = window[:size]
+            raw = [back.get(c) for c in bad]
+            if len(bad) < size or None in raw:
+                continue
+            try:
+                c = bytes(raw).decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if unicodedata.category(c) not in ("Cn", "Co", "Cs") and c != bad:
+                cp = ord(c)
+                rare = number >= _FIRST or not any(a <= cp < z for a, z in _COMMON)
+                best.setdefault(size, []).append((enc, c, _weak(bad), rare))
+        size = max(best, default=0)
+        # Pairs of common kinds go before those of rare ones.
+        how = best.get(size, [])
+        if any(not r for *_, r in how):
+            how = [h for h in how if not h[3]]
+        got = _SEQUENCES[window] = (window[:size], how)
+    return got
+
+
 _CYRILLIC = re.compile("[а-я]{2}")
 
 
@@ -99,13 +133,45 @@ def _alphabet(c: str) -> str:
     return unicodedata.name(c, " ").split(" ")[0]
 
 
+def _whole_run(text: str, at: int) -> bool:
+    """Whether the characters above ASCII around a place decompose into two sequences or more of one script."""
+    a = z = at
+    while a > 0 and text[a - 1] > "\x7f":
+        a -= 1
+    while z < len(text) and text[z] > "\x7f":
+        z += 1
+    return _decomposes(text[a:z])
+
+
+@lru_cache(maxsize=50_000)
+def _decomposes(word: str) -> bool:
+    for enc in WRONG:
+        i, scripts, n = 0, set(), 0
+        while i < len(word):
+            bad, how = _sequence(word[i : i + 4])
+            c = next((x[1] for x in how if x[0] == enc), None)
+            if c is None:
+                break
+            scripts.add(_alphabet(c))
+            i, n = i + len(bad), n + 1
+        if i >= len(word) and n >= 2 and len(scripts) == 1:
+            return True
+    return False
+
+
 def _utf8_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, restored) of garbled UTF-8 sequences, longest first at each place."""
     hits: dict[int, tuple[str, list]] = {}
-    for end, (bad, how) in utf8_automaton().iter(text):
-        at = end - len(bad) + 1
-        if at not in hits or len(hits[at][0]) < len(bad):
-            hits[at] = (bad, how)
+    later: dict[int, tuple[str, list]] = {}
+    for end, _ in utf8_automaton().iter(text):
+        bad, how = _sequence(text[end - 1 : end + 3])
+        if how:
+            doubtful = how[0][3] and all(c.isalpha() or c in _PLAIN for c in bad) and not _whole_run(text, end - 1)
+            (later if doubtful else hits)[end - 1] = (bad, [h[:3] for h in how])
+    if later and hits:
+        # Doubtful sequences of a pair count where two others show that pair.
+        seen = Counter(e for _, how in hits.values() for e, _, weak in how if not weak)
+        hits |= {at: (bad, some) for at, (bad, how) in later.items() if (some := [h for h in how if seen[h[0]] > 1])}
     if not hits:
         return []
     # Which encodings have certain evidence in this text, and where sequences touch.
@@ -151,11 +217,12 @@ def _mid_word(text: str, at: int) -> bool:
 
 def _beside(text: str, at: int, bad: str, enc: str) -> bool:
     """Whether another sequence of the pair touches this one."""
-    machine = utf8_automaton()
     for n in (2, 3):
         for piece in (text[at + len(bad) : at + len(bad) + n], text[max(0, at - n) : at]):
-            if len(piece) == n and any(e == enc for e, *_ in machine.get(piece, ("", []))[1]):
-                return True
+            if len(piece) == n:
+                got, how = _sequence(piece)
+                if got == piece and any(e == enc for e, *_ in how):
+                    return True
     return False
 
 
@@ -306,12 +373,13 @@ def _single_byte(text: str) -> tuple[str, bool]:
     now, seen = text, set()
     while True:
         best = None
-        for _, _, table, form, alone in _western():
+        evidence = _evidence(now)
+        for number, (_, _, table, form, _) in enumerate(_western()):
             # Evidence that an earlier pair explains isn't another one's.
             new = {c: g for c, g in table.items() if c not in seen}
-            proof = [m for m in form.findall(now) if any(c in new for c in m)]
+            proof = [m for m in evidence[number][0] if any(c in new for c in m)]
             # Two places count if not all their signs are such as join words in correct text.
-            enough = any(c in new for m in alone.findall(now) for c in m) or (len(proof) >= 2 and any(c in new and c not in _JOINING for m in proof for c in m))
+            enough = any(c in new for m in evidence[number][1] for c in m) or (len(proof) >= 2 and any(c in new and c not in _JOINING for m in proof for c in m))
             if enough and (best is None or len(proof) > best[0]):
                 best = len(proof), new, form
         if best is None:
@@ -323,6 +391,105 @@ def _single_byte(text: str) -> tuple[str, bool]:
         now = "".join("".join(new.get(c, c) for c in x) if any(c in new for m in form.findall(x) for c in m) else x for x in parts)
 
 
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
+# The patterns tell ASCII letters apart only as far as this.
+_FLAT = str.maketrans({**{c: "a" for c in "abcdefghijkmnopqrstuvwxyz"}, **{c: "A" for c in "ABDEGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "123456789"}, "\n": " ", "\t": " "})
+_CONTEXTS: dict[tuple[str, int, int], list] = {}
+
+
+def _evidence(text: str) -> list[tuple[list[str], list[str]]]:
+    """For each Western pair the places of evidence, and those of which one is enough.
+
+    Only what surrounds characters beyond ASCII is looked at, with its ASCII
+    letters made alike, so that nearly all contexts have been met before.
+    """
+    out = [([], []) for _ in WESTERN]
+    flat = text.translate(_FLAT)
+    for m in _BEYOND.finditer(flat):
+        a, z = m.span()
+        key = (flat[max(0, a - 4) : z + 4], min(a, 4), z - a)
+        got = _CONTEXTS.get(key)
+        if got is None:
+            if len(_CONTEXTS) > 300_000:
+                _CONTEXTS.clear()
+            x, at, n = key
+            own = lambda p: [h.group() for h in p.finditer(x) if h.start() < at + n and h.end() > at]  # noqa: B023, E731
+            got = [(i, own(form), own(alone)) for i, (_, _, _, form, alone) in enumerate(_western())]
+            got = _CONTEXTS[key] = [g for g in got if g[1] or g[2]]
+        for i, f, s in got:
+            out[i][0].extend(f), out[i][1].extend(s)
+    return out
+
+
+# Letters of other languages by how often they stand in text, the commonest first; and the one-byte encodings of their alphabets.
+OTHER_LETTERS = {"GREEK": "αοιετσνηυρπκμλωςδγχθφβξζψ", "HEBREW": "יוהלאמרתבשנעםדקפחןטצגסכזץךף", "ARABIC": "اليمنوتربةعدسفهكقحجشطصخضذزثغظ", "THAI": "านรกเงอมยลวดทสตปบคพหชจขผแไใโ"}
+OTHER_ALPHABETS = (("cp1253", "GREEK"), ("cp1255", "HEBREW"), ("cp1256", "ARABIC"), ("cp874", "THAI"), ("iso8859_7", "GREEK"), ("mac_greek", "GREEK"))
+_HIGH_RUN = re.compile(r"[\x80-\xffŒœŠšŽžŸƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]{4,}")
+# Two-byte encodings, with the lead bytes of their common characters.
+TWO_BYTE = (("gb2312", 0xB0, 0xD7), ("euc_kr", 0xB0, 0xC8), ("big5", 0xA4, 0xC6), ("euc_jp", 0xA4, 0xCF))
+
+
+def _plain_marks(c: str) -> str:
+    """A letter without its accents."""
+    return unicodedata.normalize("NFD", c)[0]
+
+
+@lru_cache(maxsize=20_000)
+def _other_script(run: str) -> str | None:
+    """What a run of characters above ASCII was, if it is text of another alphabet or of a two-byte encoding; None if it may be correct."""
+    raw = []
+    back = _byte_tables()[0][2]
+    for c in run:
+        if c not in back:
+            return None
+        raw.append(back[c])
+    raw, best = bytes(raw), None
+    for cut in (raw, raw[:-1], raw[1:]):  # the sequences of UTF-8 have their own table
+        try:
+            return cut.decode("utf-8") and None
+        except UnicodeDecodeError:
+            pass
+    letters = sum(b >= 0xC0 for b in raw)
+    for enc, alphabet in OTHER_ALPHABETS:
+        try:
+            text = raw.decode(enc)
+        except UnicodeDecodeError:
+            continue
+        order = OTHER_LETTERS[alphabet]
+        own = [_plain_marks(c.lower()) for c in text if c.isalpha()]
+        if len(own) < 4 or any(_alphabet(c) != alphabet for c in text if c.isalpha()) or not (text[1:].islower() or text.lower() == text or text.isupper()):
+            continue
+        like = sum(11 * 0.88 ** order.find(c) if c in order else 0 for c in own) / len(own)
+        if like > 4.0 and (best is None or like > best[0]):
+            best = like, text
+    if best is None and len(raw) >= 6 and len(raw) % 2 == 0 and letters < len(raw):
+        for enc, lo, hi in TWO_BYTE:
+            try:
+                text = raw.decode(enc)
+            except UnicodeDecodeError:
+                continue
+            share = sum(lo <= b <= hi for b in raw[::2]) / len(text)
+            if share >= 0.8 and all(ord(c) > 0x2E7F for c in text) and (best is None or share > best[0]):
+                best = share, text
+    return best[1] if best else None
+
+
+def _other_runs(text: str) -> tuple[str, bool]:
+    """Text with the runs of other alphabets and of two-byte encodings restored, and whether there was one."""
+    hit = False
+
+    def fix(m: re.Match) -> str:
+        nonlocal hit
+        a, z = m.span()
+        if (a and text[a - 1].isascii() and text[a - 1].isalnum()) or (z < len(text) and text[z].isascii() and text[z].isalnum()):
+            return m.group()
+        now = _other_script(m.group())
+        hit = hit or now is not None
+        return m.group() if now is None else now
+
+    return _HIGH_RUN.sub(fix, text), hit
+
+
 _LOST = re.compile("[�\u0080-\u0084\u0086-\u009f]")
 # Beginnings of garbled punctuation that lost its last character.
 _CUT = re.compile("â€|вЂ|ΓÇ|ÔÇ|‚Ä|Ã¢â|Гў|Ă˘")
@@ -337,16 +504,15 @@ def restore(text: str | None) -> tuple[bool, str | None, bool]:
     if text is None or text.isascii():
         return False, text, True
     now, garbled = text, False
-    for _ in range(MOST_PASSES):
-        spans = _utf8_spans(now)
-        if not spans:
-            break
+    while spans := _utf8_spans(now):  # each pass makes the text shorter
         garbled, parts, last = True, [], 0
         for a, b, c in spans:
             parts += [now[last:a], c]
             last = b
         now = "".join(parts) + now[last:]
     fixed, hit = _single_byte(now)
+    if not hit:
+        fixed, hit = _other_runs(now)
     if hit:
         garbled, now = True, fixed
     lost = bool(_LOST.search(now) or _CUT.search(now))

@@ -33,3 +33,40 @@ def test_one_garbled_word():
 @pytest.mark.parametrize("text", [RUSSIAN * 3 + "Ânes, île, œuvre. Да.", "Това е България. Її звуть Їжак.", "ÀÉÎ à é î", "Þórður á Íslandi"])
 def test_correct_sentences_are_left(text):
     assert encoding.restore(text)[:2] == (False, text)
+
+
+# Texts in scripts that the test tables don't hold.
+HELD_OUT = {
+    "ko": "한국어 문장은 이렇게 쓰인다", "ar": "هذه جملة عربية قصيرة", "he": "זה משפט קצר בעברית", "hi": "यह एक छोटा वाक्य है", "th": "นี่คือประโยคสั้น", "vi": "Tiếng Việt có nhiều dấu thanh",
+    "ka": "ეს არის მოკლე წინადადება", "ja": "これは短い文章です", "zh": "这是一个很短的句子", "pl": "Zażółć gęślą jaźń", "tr": "Kısa bir cümle değil mi"}
+
+
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1", "cp1251", "cp1250", "mac_roman", "cp437", "koi8_r", "cp1253"])
+def test_held_out_scripts(wrong):
+    """All are found, nine of ten restored whole."""
+    whole = 0
+    for text in HELD_OUT.values():
+        want = f"The note says: {text} and no more."
+        bad = encoding._read(text.encode(), wrong)
+        found, now, _ = encoding.restore(want.replace(text, bad))
+        assert found
+        whole += now == want
+    assert whole >= 0.9 * len(HELD_OUT)
+
+
+@pytest.mark.parametrize("text", [*HELD_OUT.values(), "«Décris l’élève d’Évian»", "Њ Љ љ је њен", "він бачив вії її дітей", "Ďábel, ťava, şey, İzmir"])
+def test_correct_scripts_are_left(text):
+    assert encoding.restore(f"{text} — «{text}»…")[0] is False
+
+
+@pytest.mark.parametrize(("text", "true", "wrong"), [("Αυτή είναι σύντομη πρόταση", "cp1253", "cp1252"), ("זה משפט קצר בעברית", "cp1255", "cp1252"), ("هذه جملة عربية قصيرة", "cp1256", "cp1252"), ("这是一个很短的句子", "gbk", "cp1252"), ("한국어 문장은 이렇게", "euc_kr", "cp1252")])
+def test_other_alphabets_are_found(text, true, wrong):
+    assert encoding.restore(encoding._read(text.encode(true), wrong))[0]
+
+
+def test_many_passes():
+    """Text that was garbled six times over."""
+    bad = "café"
+    for _ in range(6):
+        bad = encoding._read(bad.encode(), "latin-1")
+    assert encoding.restore(bad) == (True, "café", True)
