@@ -6,8 +6,8 @@ One defect or none for each pair, looked for in this order:
 * copied: the response's words align with the prompt's (longest common
   subsequence over the prompt, repeated where the response is longer, and
   shingle containment) with no longer stretch of its own;
-* refusal: the response's words align with a refusal template, and templates
-  explain all but a few of its words;
+* refusal: the response's sentences align with refusal templates (who, refuses,
+  what, in any order), and all but a small share of it does or stands beside;
 * other_language: prose whose function words are of another language than the
   prompt's, which does not ask for that language;
 * truncated: an open quotation, bracket, fence or list item, a dangling comma,
@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
+from collections import Counter
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,133 +28,31 @@ from pyspark.sql import functions as F
 from .words import words
 
 # Words that stand for a missing answer.
-PLACEHOLDERS = frozenset("none;null;nil;na;n a;nan;tbd;tba;todo;empty;blank;no response;no answer;no output;response;answer;undefined;missing;placeholder;your answer here;insert response here;to be done;pending;void;left blank;no data;not available;not applicable;lorem ipsum;xxx".split(";"))
-
-# Refusal templates, * stands for up to four words.
-REFUSALS = """
-i can t help with that request
-i cannot help with that
-i can t assist with that
-i cannot assist with this request
-i am not able to provide an answer here
-i am unable to answer that
-i am unable to help with this
-i m not able to help with that
-i m unable to assist with that request
-i cannot answer this question
-i can t answer that
-i cannot provide that information
-i can t provide an answer
-i cannot comply with this request
-i can t do that
-i will not answer this
-i won t be able to discuss this
-i won t answer that
-i won t be able to help
-i refuse to answer
-i must decline
-i have to decline this request
-i must refuse this request
-this is something i must decline
-i must pass on this one
-i would rather not answer this one
-i prefer not to answer
-i do not feel comfortable writing about *
-i don t feel comfortable discussing *
-i do not have enough access to respond to this question
-i don t have enough access to respond to this question
-i don t have the information to answer that
-no answer can be given by me on this matter
-answering would go beyond what i am allowed to do
-i am not allowed to talk about *
-i am not permitted to answer this
-i have to leave * out of this conversation
-my guidelines keep me from responding to this
-my guidelines do not allow me to answer
-it would not be appropriate for me to comment on *
-it is not possible for me to answer this
-questions like this fall outside my role so i will stop here
-requests about * are ones i turn down
-nothing on * will come from me
-that topic is off limits for me
-that is outside my scope
-this assistant does not take part in talks about *
-this assistant cannot answer *
-as an ai language model i cannot answer that
-kann ich diese frage nicht beantworten
-ich kann diese frage nicht beantworten
-ich kann dabei nicht helfen
-muss ich diese anfrage ablehnen
-ich muss diese anfrage ablehnen
-darf ich dazu nichts sagen
-ich darf dazu nichts sagen
-möchte ich mich dazu nicht äußern
-ich möchte mich dazu nicht äußern
-bleibt diese frage von meiner seite offen
-diese frage bleibt von meiner seite offen
-dieses thema liegt außerhalb meiner aufgabe
-je ne peux pas répondre à cette demande
-je ne peux pas répondre à cette question
-je ne peux pas vous aider
-je suis dans l impossibilité de répondre
-ce sujet ne relève pas de mon rôle
-il m est impossible d en parler
-je préfère ne pas répondre
-je dois refuser cette question
-je dois décliner cette demande
-no puedo ayudar con esa petición
-no puedo responder a esa pregunta
-ese tema queda fuera de mi función
-debo rechazar esta pregunta
-prefiero no responder
-prefiero no hablar de ese tema
-no me es posible hablar de eso
-no me está permitido responder
-não posso ajudar com esse pedido
-não posso responder a essa pergunta
-prefiro não responder
-esse tema está fora da minha função
-devo recusar esta pergunta
-я не могу ответить на этот вопрос
-я не могу помочь с этим запросом
-я вынужден отказаться отвечать
-эта тема вне моей роли
-"""
-
-# What may stand around a refusal.
-AROUND = """
-i m sorry but
-i am sorry but
-sorry but
-i apologise
-i apologize
-unfortunately
-thanks for asking yet
-thank you for asking but
-as a text assistant
-as an ai
-as an ai language model
-leider
-es tut mir leid aber
-tut mir leid
-malheureusement
-je suis désolé mais
-désolé
-lamentablemente
-lo siento pero
-lo siento
-infelizmente
-desculpe mas
-lamento mas
-к сожалению
-извините но
-is there anything else you would like to know
-please ask about another subject
-perhaps a local expert could assist you instead
-maybe a local expert could assist you instead
-feel free to ask something else
-let me know if i can help with something else
-"""
+PLACEHOLDERS = frozenset("none;null;nil;na;n a;nan;tbd;tba;todo;empty;blank;no response;no answer;no output;response;answer;undefined;missing;placeholder;your answer here;insert response here;to be done;pending;void;left blank;no data;not available;not applicable;lorem ipsum;xxx;deleted;removed;redacted;withheld;content removed;answer removed;no comment;unknown response;see above;coming soon;under construction;not provided;no text;no content;keine antwort;pas de reponse;sin respuesta;sem resposta;нет ответа".split(";"))
+
+# Refusal templates: what is refused (A), how (N) and by whom (S), folded, by language; * stands for any ending.
+# A sentence refuses where it has all three, in any order; words of two parts are written with _.
+REFUSAL_WORDS = {
+    "en": ("i me my myself we our this_assistant the_assistant ai model",
+           "cannot can_t won_t will_not does_not doesn_t do_not don_t would_not wouldn_t am_not m_not are_not re_not unable refus* declin* must_pass pass_on nothing no_answer no_reply no_response never outside beyond impossible not_possible not_appropriate off_limits turn_down turned_down unwilling prefer_not rather_not not_comfortable don_t_feel do_not_feel don_t_have do_not_have not_allowed not_permitted keep_me keeps_me prevent* forbid* prohibit* leave skip abstain against not_something",
+           "help* assist* answer* respond* response reply* discuss* talk* comment* comply request* question* topic* subject* matter* conversation* write writing say speak share provid* information guidelines access role scope task remit get_into go_into engag* do_that do_this tell explain advice advise take_part take_up come_from hear_from get_from"),
+    "de": ("ich mir mich mein* meine* wir uns* assistent*", "nicht nichts kein* ablehn* verweiger* ausserhalb unmoglich leider_nicht offen untersag* lieber_nicht weiger*", "helf* hilfe antwort* beantwort* frag* anfrage* thema dazu aufgabe* auskunft sagen aussern sprechen unterstutz* behilflich information* dieser_bitte"),
+    "fr": ("je j me m mon ma moi nous notre assistant", "ne_peux n_ai ne_suis ne_vais ne_veux ne_souhaite ne_releve impossib* refus* declin* prefere_ne hors interdit pas_en_mesure incapable m_abstiens ne_saurais", "repond* aid* demande* question* sujet* parler role reponse* discuter commenter information* traiter assist* aborder"),
+    "es": ("yo me mi mis nosotros nuestro asistente puedo debo prefiero tengo quiero voy", "no fuera rechaz* imposible neg* abst* incapaz prohib* permitido", "ayud* respond* pregunta* peticion* solicitud* tema* hablar contest* funcion respuesta* comentar informacion asist*"),
+    "pt": ("eu me meu minha meus nos assistente posso devo prefiro tenho quero vou", "nao fora recus* impossivel neg* incapaz proib* permitido abst*", "ajud* respond* pergunta* pedido* solicitacao tema* assunto* falar funcao resposta* comentar informac* atender"),
+    "it": ("io mi mio mia noi assistente posso devo preferisco sono voglio", "non fuori rifiut* impossibile declin* incapace vietato", "aiut* rispond* domand* richiesta argomento parlar* discut* ruolo risposta commentar* informazion* tema"),
+    "nl": ("ik me mij mijn we ons assistent", "niet geen niets weiger* buiten onmogelijk afwijz* liever_niet", "help* hulp antwoord* beantwoord* vraag vragen verzoek onderwerp bespreken rol reageren zeggen informatie"),
+    "sv": ("jag mig min mitt vi assistent*", "inte ej vagra* avbojer avsta* utanfor omojligt hellre_inte", "hjalp* svar* besvara* fraga* begaran amne* diskutera roll uttala* kommentera"),
+    "da": ("jeg mig min mit vi assistent*", "ikke nekt* naegt* afvis* udenfor umuligt helst_ikke", "hjelp* hjaelp* svar* besvar* spørsmal* spørgsmal* sporsmal* sporgsmal* emne* diskutere rolle anmodning*"),
+    "pl": ("ja mi mnie moj* moze moge musze jestem wole nie_moge asystent*", "nie odmow* odmawiam poza niemozliw* odmawia", "pomoc* odpowie* odpowiedz* pytani* prosb* temat* rozmawiac zakres* rol* komentowac informacj*"),
+    "cs": ("ja me muj moje mohu musim nemohu nemuzu nejsem", "nemohu nemuzu odmit* mimo nejsem nelze nesmim", "pomoc* odpoved* otazk* zadost* tema* mluvit rol*"),
+    "ru": ("я мне меня мой моя мои мое мы ассистент могу должен", "не отказ* вынужден_отказ* вне невозможн* нельзя воздерж* запрещ*", "ответ* отвеч* помо* вопрос* запрос* тема теме тему обсужд* говорить роли комментир* информац*"),
+    "tr": ("ben bana benim yardimci", "edemem veremem yapamam olamam reddet* disinda mumkun_degil degilim istemiyorum", "yardim* cevap* yanit* soru* talep* konu* istek*"),
+}
+# Verbs that refuse by themselves, so that a short sentence of the speaker needs no more (beginnings).
+PERFORMATIVE = tuple("declin refus pass_on abstain ablehn verweiger rechaz recus rifiut weiger vagra avboj afvis odmow odmawiam odmit отказ reddet".split())
+# What may stand beside a refusal in a sentence of its own: apologies, thanks, offers.
+BESIDE = frozenset("sorry apologi* unfortunately thank* understand else instead another different alternativ* rephrase contact consult professional expert leider verzeih* entschuldig* tut_mir_leid danke stattdessen andere* desole* malheureusement merci autre* plutot siento lamentablemente gracias otr* lamento infelizmente desculpe obrigad* outr* spiace purtroppo grazie altr* helaas sorry bedankt ander* tyvarr tack annan beklager desværre tak przepraszam niestety dziekuje inn* bohuzel omlouvam dekuji простите извините сожалению спасибо друг* uzgunum maalesef tesekkur baska".split())
 
 # Common words of each language (folded: without accents and case).
 FUNCTION_WORDS = {
@@ -163,6 +62,15 @@ FUNCTION_WORDS = {
     "es": "las los el la y en de del que muy no sino con como por entre hacia despues sus segun cuando tambien lo mas porque durante una un para son junto incluso nadie antes",
     "pt": "as os o a e em do da dos das no na nos nas com nao tambem segundo quando depois anos uma um ate sao foi ha para muito entre por mais que pelo pela seus suas",
     "it": "il lo la gli le e di del della dei delle in che non con per una un anche quando dopo tra come sono piu alla nel nella",
+    "pl": "nie sie na jest ze do to jak za od po przez czy oraz ktory ktora ktore dla przy tylko bylo byl byla jego jej ich tym bez pod nad kiedy",
+    "sv": "och att det som en ett av den pa inte med for till ar var har om men fran eller vid efter nar sin deras under mellan over alla genom",
+    "da": "og at det som en et af den pa ikke med for til er var har om men fra eller ved efter nar sin deres under mellem over alle gennem blev",
+    "cs": "a se na je ze to jako za od po pres nebo pro pri bylo byl byla jeho jeji jejich tim bez pod nad kdyz ktery ktera ktere mezi jen",
+    "tr": "ve bir bu da de icin ile olan olarak gibi daha en cok kadar sonra ama ne her mi o ise ya veya onun hem",
+    "fi": "ja on ei etta se oli joka mutta kun niin myos tai kuin ovat han sen jos vain viela kanssa ennen sitten",
+    "ro": "si de la in un o nu pe cu este din pentru care ca mai au fost dar sau prin dupa intre cand lor",
+    "hu": "a az es hogy nem egy is volt meg de csak ez mint mar ha aki amely utan kozott alatt minden",
+    "id": "dan yang di ke dari untuk dengan ini itu tidak pada adalah dalam akan juga oleh ada atau mereka setelah antara",
     "nl": "de het een en van in op met voor niet ook dat die was waren tussen als bij aan door naar over",
 }
 _FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
@@ -177,6 +85,8 @@ LANGUAGE_NAMES = {
     "pt": "portuguese portugiesisch portugiesischen portugais portugues португальский",
     "it": "italian italienisch italien italiano итальянский",
     "nl": "dutch niederlandisch neerlandais holandes neerlandes",
+    "pl": "polish polnisch polonais polaco polski", "sv": "swedish schwedisch suedois sueco svenska", "da": "danish norwegian danisch danois danes dansk", "cs": "czech tschechisch tcheque checo cesky", "tr": "turkish turkisch turc turco turkce",
+    "fi": "finnish finnisch finnois finlandes suomi", "ro": "romanian rumanisch roumain rumano romana", "hu": "hungarian ungarisch hongrois hungaro magyar", "id": "indonesian indonesisch indonesien indonesio",
     "ru": "russian russisch russischen russe ruso russo русский русском",
     "el": "greek griechisch grec griego grego", "zh": "chinese chinesisch chinois chino chines", "ja": "japanese japanisch japonais japones", "ko": "korean koreanisch coreen coreano",
     "ar": "arabic arabisch arabe", "he": "hebrew hebraisch hebreu hebreo", "hi": "hindi",
@@ -191,29 +101,34 @@ def is_empty(text: str | None) -> bool:
     return not text or not (w := words(text)) or (len(w) < 5 and " ".join(w) in PLACEHOLDERS)
 
 
-def common_subsequence(a: list[str], b: list[str]) -> list[bool]:
-    """Which members of a are in a longest common subsequence of a and b."""
-    n, m = len(a), len(b)
-    row = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        ri, rn, x = row[i], row[i + 1], a[i]
-        for j in range(m - 1, -1, -1):
-            ri[j] = rn[j + 1] + 1 if x == b[j] else max(rn[j], ri[j + 1])
-    out, i, j = [False] * n, 0, 0
-    while i < n and j < m:
-        if a[i] == b[j]:
-            out[i] = True
-            i, j = i + 1, j + 1
-        elif row[i + 1][j] >= row[i][j + 1]:
-            i += 1
+def common_subsequence(a: list, b: list) -> list[bool]:
+    """Which members of a are in a longest common subsequence of a and b; rows are bit sets, a row for each member of a."""
+    m, places = len(b), {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    full = v = (1 << m) - 1
+    rows = [v]
+    for x in a:
+        u = v & places.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        rows.append(v)
+    # In a row, bit j is clear where the j + 1 first members of b have one more in common than the j first.
+    out, i, j = [False] * len(a), len(a), m
+    while i and j:
+        low = (1 << j) - 1
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif (~rows[i - 1] & low).bit_count() == (~rows[i] & low).bit_count():
+            i -= 1
         else:
-            j += 1
+            i, j = i - 1, j - 1
+            out[i] = True
     return out
 
 
 def is_copied(prompt: list[str], response: list[str]) -> bool:
-    """Whether the response only repeats the prompt, perhaps slightly changed, labelled or doubled."""
-    if not prompt or not response or len(response) > 4 * len(prompt) + 12 or len(response) * 2 < len(prompt):
+    """Whether the response only repeats the prompt, perhaps slightly changed, labelled or doubled, any number of times."""
+    if not prompt or not response or len(response) * 2 < len(prompt):
         return False
     known = set(prompt)
     if sum(w in known for w in response) < 0.6 * len(response):
@@ -232,57 +147,121 @@ def is_copied(prompt: list[str], response: list[str]) -> bool:
 
 
 @cache
-def _templates() -> tuple[list[list[str]], list[list[str]], set[str]]:
-    def of(text):
-        return [[w if w == "*" else words(w)[0] for w in line.split()] for line in text.strip().splitlines()]
+def _refusal_words() -> list[tuple[dict[str, set[str]], list[tuple[str, str]]]]:
+    """For each language: whole words and beginnings, with their parts."""
+    out = []
+    for parts in REFUSAL_WORDS.values():
+        whole, starts = {}, []
+        for part, listed in zip("SNA", parts, strict=True):
+            for w in listed.split():
+                if w.endswith("*") and "_" not in w:
+                    starts.append((w[:-1], part))
+                elif "_" not in w:
+                    whole.setdefault(w, set()).add(part)
+        out.append((whole, starts))
+    return out
+
+
+@cache
+def _refusal_runs() -> dict[str, list[tuple[int, list[str], str]]]:
+    """By first word: language, words and part of the runs of words."""
+    out: dict[str, list] = {}
+    for n, parts in enumerate(REFUSAL_WORDS.values()):
+        for part, listed in zip("SNA", parts, strict=True):
+            for w in listed.split():
+                if "_" in w:
+                    run = w.rstrip("*").split("_")
+                    out.setdefault(run[0], []).append((n, run, part))
+    return out
+
+
+@lru_cache(maxsize=100_000)
+def _parts_of(w: str) -> tuple[tuple[int, str], ...]:
+    """(language, part) of a word."""
+    out = []
+    for n, (whole, starts) in enumerate(_refusal_words()):
+        out += [(n, p) for p in sorted(whole.get(w, set()) | {p for start, p in starts if w.startswith(start)})]
+    return tuple(out)
+
+
+@lru_cache(maxsize=100_000)
+def _is_beside(w: str) -> bool:
+    return w in BESIDE or any(x.endswith("*") and w.startswith(x[:-1]) for x in BESIDE)
 
-    own = of(REFUSALS)
-    return own, of(AROUND), {w for t in own for w in t}
+
+_TEMPLATES = tuple(list(x) for x in ("SNA", "SAN", "NSA", "NAS", "ASN", "ANS"))
+
+
+def refuses(sentence: list[str]) -> bool:
+    """Whether a sentence aligns with a refusal template: whole with one order of its three parts, or a speaker's refusing verb in a short one."""
+    seen: dict[int, list[str]] = {}
+    for i, w in enumerate(sentence):
+        for n, p in _parts_of(w):
+            seen.setdefault(n, []).append(p)
+        for n, run, p in _refusal_runs().get(w, ()):
+            if sentence[i : i + len(run)] == run:
+                seen.setdefault(n, []).append(p)
+    if not seen:
+        return False
+    if len(sentence) <= 12 and any("S" in p for p in seen.values()) and any(w.startswith(PERFORMATIVE) or f"{w}_{x}" in PERFORMATIVE for w, x in zip(sentence, [*sentence[1:], ""], strict=True)):
+        return True
+    return any(len(set(p)) == 3 and any(sum(common_subsequence(t, p)) == 3 for t in _TEMPLATES) for p in seen.values())
 
 
 _QUOTED = re.compile("^[\\s]*[“„«\"‘].*?[”“»\"’]", re.S)
+_SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+")
+#: A refusal's sentences that neither refuse nor stand beside a refusal hold at most this share of its words.
+OWN_SHARE = 0.35
 
 
 def is_refusal(text: str, response: list[str]) -> bool:
-    """Whether refusal templates explain the response but for a few words."""
-    if not response or len(response) > 60 or _QUOTED.match(text):
-        return False
-    own, around, vocabulary = _templates()
-    if sum(w in vocabulary for w in response) < 0.3 * len(response):
+    """Whether refusal templates explain the response but for a small share of its words."""
+    if not response or _QUOTED.match(text):
         return False
-    left = [True] * len(response)  # words not explained yet
-    for t in around:
-        k = len(t)
-        for i in range(len(response) - k + 1):
-            if response[i : i + k] == t:
-                left[i : i + k] = [False] * k
-    rest = [w for w, x in zip(response, left, strict=True) if x]
-    for t in own:
-        fixed = [w for w in t if w != "*"]
-        if len(set(fixed) & set(rest)) < 0.75 * len(set(fixed)):
-            continue
-        met = common_subsequence(rest, fixed)
-        slot = 4 if len(fixed) < len(t) else 1
-        if sum(met) >= 0.8 * len(fixed) and len(rest) - sum(met) <= slot + (2 if len(fixed) >= 6 else 0):
-            return True
-    return False
+    refused = own = n = 0
+    for x in _SENTENCE.split(text):
+        ws = words(x)
+        n += len(ws)
+        if refuses(ws):
+            refused += len(ws)
+        elif not any(_is_beside(w) for w in ws):
+            own += len(ws)
+    return refused > 0 and own <= OWN_SHARE * n
+
+
+@lru_cache(maxsize=5000)
+def _script_of(c: str) -> str | None:
+    return SCRIPTS.get(unicodedata.name(c, " ").split(" ")[0].split("-")[0]) if c.isalpha() else None
+
+
+@cache
+def _languages_of() -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for k, own in _FUNCTION.items():
+        for w in own:
+            out.setdefault(w, []).append(k)
+    return out
 
 
 def language(text: str, folded: list[str]) -> str | None:
-    """The language of prose by its script and function words; None if they don't tell."""
-    letters = [c for c in text if c.isalpha()]
-    if len(letters) < 12:
+    """The language of prose (two words or more) by its script and function words; None if they don't tell."""
+    if len(folded) < 2 and len(text) < 12:
+        return None
+    if not text.isascii():
+        foreign = Counter(k for c in text if c > "\u036f" and (k := _script_of(c)))
+        if foreign:
+            kind, n = foreign.most_common(1)[0]
+            if n * 2 > sum(c.isalpha() for c in text):
+                return kind
+    of, score, different = _languages_of(), Counter(), {}
+    for w in folded:
+        for k in of.get(w, ()):
+            score[k] += 1
+            different.setdefault(k, set()).add(w)
+    ranked = sorted(((n, len(different[k]), k) for k, n in score.items()), reverse=True)
+    if not ranked:
         return None
-    foreign: dict[str, int] = {}
-    for c in letters:
-        if ord(c) > 0x36F:
-            kind = SCRIPTS.get(unicodedata.name(c, " ").split(" ")[0].split("-")[0])
-            if kind:
-                foreign[kind] = foreign.get(kind, 0) + 1
-    if foreign and max(foreign.values()) * 2 > len(letters):
-        return max(foreign, key=foreign.get)
-    score = sorted(((sum(w in own for w in folded), len({w for w in folded if w in own}), k) for k, own in _FUNCTION.items()), reverse=True)
-    first, second = score[0], score[1]
+    first, second = ranked[0], ranked[1] if len(ranked) > 1 else (0, 0, "")
     if first[0] < 3 or first[1] < 2 or first[0] < 0.12 * len(folded):
         return None
     return first[2] if first[0] > second[0] or first[1] > second[1] else None
@@ -294,10 +273,10 @@ def _prose(text: str) -> str:
     return " " if t.strip()[:1] in "{[" and t.strip()[-1:] in "}]" else t
 
 
-def speaks_other_language(prompt: str, response: str, prompt_words: list[str]) -> bool:
+def speaks_other_language(prompt: str, response: str, prompt_words: list[str], response_words: list[str]) -> bool:
     t = _prose(response)
-    own = language(t, words(t))
     asked = language(prompt, prompt_words)
+    own = language(t, response_words if t == response else words(t)) if asked else None
     return own is not None and asked is not None and own != asked and own not in {_NAMES[w] for w in prompt_words if w in _NAMES}
 
 
@@ -372,7 +351,7 @@ def defect(prompt: str | None, response: str | None) -> str | None:
         return "copied"
     if is_refusal(response, r):
         return "refusal"
-    if prompt and speaks_other_language(prompt, response, p):
+    if prompt and speaks_other_language(prompt, response, p, r):
         return "other_language"
     return "truncated" if is_truncated(response) else None
 

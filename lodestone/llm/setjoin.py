@@ -141,7 +141,7 @@ def ordered(df: DataFrame, t: float, sketch: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, f"{schema}, near array<bigint>, rest array<bigint>, odd0 bigint, odd1 bigint")
 
 
-def candidates(left: DataFrame, right: DataFrame, t: float, also: Column | None = None, band: int = 4) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, t: float, also: Column | None = None, band: int = 8) -> DataFrame:
     """Pairs (key_l, key_r) of different sets that share a prefix window and may reach t.
 
     left and right have set_key, n, near, odd0 and odd1, a row for each set. The

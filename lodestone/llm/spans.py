@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import drop_stage, staged
 from .fmindex import FMIndex
 from .words import mix
 
@@ -128,7 +128,9 @@ def segments(docs: DataFrame, span: int, gram: int) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names)
 
-    return docs.join(hits, "doc").select("doc", "text", "hits").mapInArrow(cut, "anchor long, doc long, start int, size int, seg_key string, seg string")
+    out = staged(docs.join(hits, "doc").select("doc", "text", "hits").mapInArrow(cut, "anchor long, doc long, start int, size int, seg_key string, seg string"), "segs")
+    drop_stage(every)
+    return out
 
 
 _OUT = "seg_key string, a int, z int, other string"
@@ -224,7 +226,7 @@ def shared_passages(documents: DataFrame, key: str = "doc_id", text: str = "text
     first = ids.groupBy("digest").agg(F.min("doc").alias("first"))
     copies = staged(ids.join(first, "digest").select(F.col("first").alias("doc"), F.col("doc").alias("copy"), "digest"), "copies")
     unique = own.join(copies.filter("doc = copy").select("doc", "digest"), "doc").filter(digest == F.col("digest")).select("doc", "text")
-    segs = staged(segments(unique.dropDuplicates(["doc"]), span, gram), "segs")
+    segs = segments(unique.dropDuplicates(["doc"]), span, gram)
     at = segs.select("seg_key", "doc", "start", "size")
     # How many different segments an anchor has; no texts are moved for it.
     per = staged(segs.select("anchor", "seg_key").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "kinds")
@@ -241,8 +243,8 @@ def shared_passages(documents: DataFrame, key: str = "doc_id", text: str = "text
     hot = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: place(F.concat_ws(":", "anchor", F.least(mine, o), F.greatest(mine, o)), "cross", (mine > o)))
     hot = F.transform(hot, lambda p: F.struct(p["shard"].alias("shard"), F.when(p["shard"].endswith(F.concat(F.lit(":"), mine, F.lit(":"), mine)), "same").otherwise(p["mode"]).alias("mode"), p["part"].alias("part")))
     placed = several.select("seg_key", "seg", "lo_doc", "hi_doc", F.explode(F.when(F.col("kinds") <= SHARD, cold).otherwise(hot)).alias("p")).select("seg_key", "seg", "lo_doc", "hi_doc", "p.*")
-    # Searching a shard costs far more than its bytes tell, so each is a task of its own.
-    runs = staged(placed.repartition(min(shards, MOST_TASKS), "shard").groupBy("shard").applyInPandas(lambda pdf: _search(pdf, span), _OUT), "runs")
+    # Searching a shard costs far more than its bytes tell, so they are spread over more partitions than bytes ask for.
+    runs = staged(placed.repartition(min(4 * shards, MOST_TASKS), "shard").groupBy("shard").applyInPandas(lambda pdf: _search(pdf, span), _OUT), "runs")
     found = runs.filter("other is null").join(at, "seg_key").select("doc", (F.col("start") + F.col("a")).alias("start"), (F.col("z") - F.col("a")).alias("size"))
     # Equal segments share all of their characters.
     same = docs_of.filter("lo_doc < hi_doc").select("seg_key")

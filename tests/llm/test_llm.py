@@ -226,6 +226,41 @@ def test_answers(p, r, want):
     assert answers.defect(p, r) == want
 
 
+@pytest.mark.parametrize("r", [
+    "I'd rather not get into that.", "That's something I can't discuss, I'm afraid.", "Mi dispiace, ma non posso aiutarti con questa richiesta.", "Przepraszam, nie mogę pomóc w tej sprawie.", "Tyvärr kan jag inte svara på den frågan.",
+    "I'm afraid that request is beyond what I can assist with.", "Het spijt me, maar ik kan daar geen antwoord op geven.", "We do not comment on such matters.", "Извините, я не могу обсуждать эту тему.",
+    "As an AI, I have to decline. My guidelines prevent me from engaging with this subject, so please contact a professional instead.", "I'm sorry, but I can't help with that request. " * 9])
+def test_refusals_in_other_words(r):
+    """Sentences that no table holds, and refusals of any length."""
+    assert answers.defect(Q, r) == "refusal"
+
+
+@pytest.mark.parametrize("r", [
+    "The storm came early. I could not answer the captain's question, so the crew waited, and in the morning the harbour was opened again by the town council and the old ferry returned to the islands.",
+    "No, it is impossible to answer with certainty; most records of the town were lost in 1790, though two letters survive in the library.", "The topic of the talk was not the harbour but the mill."])
+def test_sound_answers_with_such_words(r):
+    assert answers.defect(Q, r) is None
+
+
+def test_defects_beyond_former_bounds():
+    short = "Name the old river town of Porto"
+    assert answers.defect(short, " ".join([short] * 8)) == "copied" and answers.defect(Q, "[deleted]") == "empty"
+    assert answers.defect(Q, "Port zamknięto, ponieważ burza przyszła wcześniej i nie było już czasu na powrót statków do miasta.") == "other_language"
+    assert answers.defect(Q, "Порт закрыли.") == "other_language"
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
+def test_common_subsequence(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    met = [x for x, ok in zip(a, answers.common_subsequence(a, b)) if ok]
+    it = iter(b)
+    assert len(met) == best[-1][-1] and all(x in it for x in met)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_best_fit(sizes):
