@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import rows_within, staged
 from .words import windows, word_codes, words
 
-#: Up to so many item tokens the evaluation side is broadcast (16 bytes each); beyond it, it is shuffled.
+#: Up to so many item tokens the evaluation side is broadcast (16 bytes each), and texts are cut to its tokens as they are read; beyond it, it is shuffled.
 BROADCAST_ROWS = 500_000
 
 
@@ -49,7 +49,7 @@ def items(prompts: DataFrame, id_col: str, text_col: str, span: int = 8, width:
 
     kind = dict(prompts.dtypes)[id_col]
     rows = prompts.select(id_col, text_col).mapInArrow(run, f"prompt_id {kind}, words array<string>, width int, tokens array<bigint>")
-    return rows.distinct().withColumn("item", F.xxhash64("prompt_id", "words"))
+    return rows.distinct().withColumn("item", F.unhex(F.substring(F.sha2(F.to_json(F.struct("prompt_id", "words")), 256), 1, 32)))
 
 
 def leaked_prompts(
@@ -68,14 +68,26 @@ def leaked_prompts(
     cid, kind = "c_id", dict(corpus.dtypes)[corpus_id]
     texts = corpus.select(F.col(corpus_id).alias(cid), F.col(corpus_text).alias("c_text")).filter("c_id is not null and c_text is not null")
 
+    asked = tokens.select("token").distinct()
+    few = rows_within(asked, BROADCAST_ROWS)
+    spark = corpus.sparkSession
+    wanted = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in asked.collect()] if few else [], np.int64)))
+
     def tokenized(batches):
+        own = wanted.value
         for b in batches:
             ids, sizes, places, toks = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 codes = word_codes(words(t))
                 w = [windows(codes, k) for k in widths]
-                toks.append(np.concatenate(w).view(np.int64) if w else np.empty(0, np.int64))
-                places.append(np.concatenate([np.arange(len(x)) for x in w]) if w else np.empty(0, np.int64))
+                tok = np.concatenate(w).view(np.int64) if w else np.empty(0, np.int64)
+                at = np.concatenate([np.arange(len(x)) for x in w]) if w else np.empty(0, np.int64)
+                if few:
+                    held = own[np.minimum(np.searchsorted(own, tok), len(own) - 1)] == tok if len(own) else np.zeros(len(tok), bool)
+                    if not held.any():
+                        continue
+                    tok, at = tok[held], at[held]
+                toks.append(tok), places.append(at)
                 ids.append(i), sizes.append(len(codes))
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(sizes, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(toks, pa.list_(pa.int64()))], ["c_id", "n_words", "at", "token"])
 
@@ -85,7 +97,7 @@ def leaked_prompts(
         .select("c_id", "n_words", F.col("t.at").alias("at"), F.col("t.token").alias("token"))
     )
     # Only tokens that some item has can be a prefix: the corpus is cut to them first, and read once.
-    met = staged(own.join(_small(tokens.select("token").distinct()), "token"), "met")
+    met = staged(own if few else own.join(asked, "token"), "met")
     df = met.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = tokens.join(df, "token", "left").fillna(0, ["df"])
     # An item with a token that the corpus lacks has df 0 there, and so drops out of the join.

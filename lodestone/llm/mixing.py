@@ -1,7 +1,7 @@
 """Mixing sources to target weights (problem 8).
 
 Each source of a mixture is to give its share of the mixture's tokens. The
-mixture is as large as the scarcest source allows at its most repeats. A
+mixture is as large as asked, at most as the scarcest source allows at its most repeats. A
 source that must give r times its tokens takes each document floor(r) times,
 and once more with probability r - floor(r); which ones is decided by the cube
 method: the probabilities are moved along vectors that leave the expected
@@ -95,7 +95,7 @@ def landing(tokens: list[float], p: list[float]) -> list[float]:
     return out
 
 
-def targets(documents: DataFrame, mixtures: DataFrame) -> DataFrame:
+def targets(documents: DataFrame, mixtures: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """(mixture_id, source_id, weight_share, target_share, max_repeats, own_tokens, own_docs, ratio): a row for each listed source.
 
     weight_share is the weight relative to the mixture's sum; target_share the
@@ -103,6 +103,8 @@ def targets(documents: DataFrame, mixtures: DataFrame) -> DataFrame:
     tokens are to be taken; null for a source without tokens, 0 for one whose
     weight or max_repeats is null or not positive. A source that a mixture
     lists twice counts with the sum of the weights and the smaller max_repeats.
+    total_tokens is the size asked of each mixture; if its scarcest source
+    can't give its share of that, or if it is None, the mixture is as large as that source allows.
     """
     own = documents.filter("n_tokens > 0").groupBy(F.col("source").alias("source_id")).agg(F.sum("n_tokens").alias("own_tokens"), F.count(F.lit(1)).alias("own_docs"))
     m = mixtures.filter("mixture_id is not null and source_id is not null").groupBy("mixture_id", "source_id").agg(F.sum(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))).alias("weight"), F.min(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("max_repeats"))
@@ -113,6 +115,8 @@ def targets(documents: DataFrame, mixtures: DataFrame) -> DataFrame:
     m = m.withColumn("target_share", F.when(F.col("usable"), F.col("weight") / F.col("w_own")))
     size = m.groupBy("mixture_id").agg(F.min(F.when(F.col("usable"), F.col("max_repeats") * F.col("own_tokens") / F.col("target_share"))).alias("size"))
     m = m.join(size, "mixture_id")
+    if total_tokens is not None:
+        m = m.withColumn("size", F.least("size", F.lit(float(total_tokens))))
     ratio = F.when(F.col("usable"), F.least(F.col("target_share") * F.col("size") / F.col("own_tokens"), F.col("max_repeats").cast("double"))).otherwise(F.when(F.col("own_tokens").isNotNull(), F.lit(0.0)))
     share = F.when(F.col("w_all") > 0, F.col("weight") / F.col("w_all")).otherwise(F.lit(0.0))
     return m.select("mixture_id", "source_id", share.alias("weight_share"), "target_share", "max_repeats", "own_tokens", "own_docs", ratio.alias("ratio"))
@@ -140,15 +144,16 @@ def _level(open_: DataFrame, last: bool, seed: int) -> DataFrame:
     return open_.groupBy("mixture_id", "source", "block").applyInPandas(run, open_.schema)
 
 
-def mixed(documents: DataFrame, mixtures: DataFrame, vocabulary: str = VOCABULARY, seed: int = 0, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def mixed(documents: DataFrame, mixtures: DataFrame, vocabulary: str = VOCABULARY, seed: int = 0, block: int = BLOCK, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The chosen documents (mixture_id, source_id, doc_id, repeats, n_tokens), and targets().
 
     Documents without id, source or tokens can't be chosen; repeated ids count
     once. repeats is at least 1 and at most the source's max_repeats.
+    total_tokens: see targets().
     """
     base = documents.select("doc_id", "source", "text").filter("doc_id is not null and source is not null and text is not null")
     docs = staged(once(counted(base, "text", vocabulary), "doc_id").filter("n_tokens > 0"), "tokens")
-    goals = staged(targets(docs, mixtures), "targets")
+    goals = staged(targets(docs, mixtures, total_tokens), "targets")
     few = goals.filter("ratio > 0").select("mixture_id", F.col("source_id").alias("source"), "max_repeats", "ratio")
     if rows_within(few, 100_000):
         few = F.broadcast(few)

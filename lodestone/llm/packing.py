@@ -1,14 +1,16 @@
 """Filling fixed-capacity containers with items (problem 7).
 
-Deficit round-robin over the sources' queues: window w of the output is to
-take each source's share of the window's tokens, and what a source could not
-give because its next item was too large is carried into the next window. The
-carried deficits are the same as the fractional parts of a running total, so
-the queues' positions are computed by two levels of prefix sums instead of a
-sequential loop: an item's window is the one in which its source's running
-total falls. That carries deficits across windows and partitions exactly, and
-a large source is spread over all windows. Within a window (of bounded size)
-the items are put into containers by best fit, the largest first.
+Deficit round-robin over the sources' queues: each window of the output is to
+hold the sources' target proportions of tokens, and what a source could not
+give because its next item was too large is carried into the next window. As
+every item must be packed, a source whose queue ends leaves its share to the
+others in their proportions. The carried deficits are the fractional parts of
+running totals, so the places of items are computed by two levels of prefix
+sums instead of a sequential loop: with v, the tokens before an item in its
+queue divided by its source's proportion, the output before it is the sum over
+all sources of proportion times min(v, v at the end of that source). That
+carries deficits across windows and partitions exactly. Within a window (of
+bounded size) items are put into containers by best fit, the largest first.
 """
 
 from __future__ import annotations
@@ -70,12 +72,16 @@ def pieces(items: DataFrame, profiles: DataFrame) -> DataFrame:
     return x.select("profile_id", "capacity", "doc_id", "source", "piece", start.alias("start"), F.least(F.col("n_tokens") - start, F.col("capacity")).alias("n_tokens"))
 
 
-def packed(docs: DataFrame, profiles: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW) -> DataFrame:
+def packed(docs: DataFrame, profiles: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW, proportions: DataFrame | None = None) -> DataFrame:
     """(profile_id, container_id, capacity, doc_id, source, piece, start, n_tokens): the container of each document's piece.
 
     Documents without id take no part; repeated ids count once. Null or empty
     texts have no tokens and so need no container. A null source is a queue of
     its own. Containers are numbered within a profile as "window-number".
+    proportions: (source, weight), the share of tokens that each source is to
+    have in every window while its queue lasts; sources that aren't listed, or
+    with a null or no positive weight, come after all others, in proportion to
+    their own tokens. Without proportions each source is spread over all windows.
     """
     base = docs.select("doc_id", "source", "text").filter("doc_id is not null and text is not null and text != ''")
     items = staged(once(counted(base, "text", vocabulary), "doc_id").filter("n_tokens > 0"), "items")
@@ -90,14 +96,25 @@ def packed(docs: DataFrame, profiles: DataFrame, vocabulary: str = VOCABULARY, w
     before = F.sum("t").over(queue.rowsBetween(Window.unboundedPreceding, -1))
     total = F.sum("t").over(Window.partitionBy("profile_id", "source"))
     sums = sums.select("profile_id", "source", "step", F.coalesce(before, F.lit(0)).alias("before"), total.alias("source_total"), "t")
-    of = sums.groupBy("profile_id").agg(F.sum("t").alias("all_tokens"))
-    sums = sums.join(F.broadcast(of), "profile_id").drop("t")  # a row for each profile
+    queues = sums.groupBy("profile_id", "source").agg(F.max("source_total").alias("tokens"))
+    if proportions is not None:
+        asked = proportions.filter("weight > 0").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum("weight").alias("weight"))
+        queues = queues.join(asked, "source", "left")
+    else:
+        queues = queues.withColumn("weight", F.lit(None).cast("double"))
+    # Sources without a weight wait until the others' queues have ended, at v = late.
+    late = F.max(F.when(F.col("weight").isNotNull(), F.col("tokens") / F.col("weight"))).over(Window.partitionBy("profile_id"))
+    queues = queues.withColumn("from_v", F.when(F.col("weight").isNull(), F.coalesce(late, F.lit(0.0))).otherwise(F.lit(0.0))).withColumn("q", F.coalesce("weight", F.col("tokens").cast("double")))
+    # A row for each profile, with an entry for each source.
+    of = queues.groupBy("profile_id").agg(F.sum("tokens").alias("all_tokens"), F.collect_list(F.struct("q", "from_v", (F.col("tokens") / F.col("q")).alias("long"))).alias("queues"))
+    sums = sums.drop("t", "source_total").join(queues.select("profile_id", "source", "q", "from_v"), ["profile_id", "source"])
     inner = Window.partitionBy("profile_id", "source", "step").orderBy(spot, "doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("own", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(sums, ["profile_id", "source", "step"])
+    x = x.withColumn("own", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(sums, ["profile_id", "source", "step"]).join(F.broadcast(of), "profile_id")
     windows = F.ceil(F.col("all_tokens") / (F.lit(window) * F.col("capacity")))
-    # The middle of the item's place in its source's total decides the window.
-    share = (F.col("before") + F.col("own") + F.col("n_tokens") / 2) / F.col("source_total")
-    x = x.withColumn("window", F.least(F.floor(share * windows), windows - 1).cast("int"))
+    # The middle of the item decides its window.
+    x = x.withColumn("v", F.col("from_v") + (F.col("before") + F.col("own") + F.col("n_tokens") / 2) / F.col("q"))
+    out = F.aggregate("queues", F.lit(0.0), lambda s, e: s + e["q"] * F.greatest(F.lit(0.0), F.least(F.col("v") - e["from_v"], e["long"])))
+    x = x.withColumn("window", F.least(F.floor(out / F.col("all_tokens") * windows), windows - 1).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece"], kind="stable")

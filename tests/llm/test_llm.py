@@ -184,6 +184,16 @@ def test_pieces_table(spark):
     assert all(r.boundary_end_type == "sentence" and r.text.rstrip().endswith(".") for r in got[:-1])
 
 
+def test_deepest_valley_is_cut():
+    """The topic changes at one sentence end of many; the cut goes there and not to the latest one."""
+    a = [" ".join(rng.choice(["kiln", "clay", "brick", "oven", "ash"]) for _ in range(7)) + "." for _ in range(24)]
+    b = [" ".join(rng.choice(["sail", "harbour", "mast", "tide", "rope"]) for _ in range(7)) + "." for _ in range(24)]
+    text = " ".join(a) + " " + " ".join(b)
+    at = len(" ".join(a)) + 1
+    cuts = pieces.split_text(text, at + 300, 50)
+    assert cuts[0][1] == at and cuts[0][2] == "sentence"
+
+
 GOOD = "“It wasn’t the café,” wrote Ana; für größere Straßen — 20 °C, 5 × 6, 9 € où déjà señales e canções."
 
 
@@ -290,6 +300,36 @@ def test_packing(spark):
             assert all(b[1] == a[1] + cap - over and a[2] == cap for a, b in zip(ps, ps[1:], strict=False))
 
 
+def test_packing_to_proportions(spark):
+    """Windows hold the asked proportions while the queues last; unlisted sources come last."""
+    docs = [(i, "abc"[i % 3], sentence(40)) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    prof = spark.createDataFrame([("n", 500, 0)], "profile_id string, capacity_tokens int, overlap_tokens int")
+    want = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("z", 5.0), ("c", None)], "source string, weight double")
+    out = packing.packed(df, prof, window=10, proportions=want).collect()
+    assert {r.doc_id for r in out} == set(range(600))
+    windows = {}
+    for r in out:
+        windows.setdefault(int(r.container_id[:8]), {}).setdefault(r.source, []).append(r.n_tokens)
+    n = {w: {k: sum(v) for k, v in x.items()} for w, x in windows.items()}
+    first = [w for w in sorted(n) if "a" in n[w] and w + 1 in n and "a" in n[w + 1]]
+    assert len(first) > 2 and all(n[w]["a"] / (n[w]["a"] + n[w]["b"]) == pytest.approx(0.75, abs=0.05) and "c" not in n[w] for w in first)
+    assert set(n[max(n)]) == {"c"}
+
+
+def test_mixture_of_a_given_size(spark):
+    docs = [(i, "ab"[i % 2], sentence(30)) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    mix = spark.createDataFrame([("m", "a", 0.5, 2), ("m", "b", 0.5, 1)], "mixture_id string, source_id string, weight double, max_repeats int")
+    got, _ = mixing.mixed(df, mix, total_tokens=4000)
+    assert sum(r.repeats * r.n_tokens for r in got.collect()) == pytest.approx(4000, rel=0.03)
+
+
+def test_leaks_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BROADCAST_ROWS", 1)
+    test_leaks(spark)
+
+
 def test_flight_keeps_totals():
     r = random.Random(1)
     t, p = [r.uniform(1, 90) for _ in range(300)], [r.random() for _ in range(300)]
