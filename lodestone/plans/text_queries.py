@@ -8,9 +8,11 @@ from .dialect import WS, fold, norm, relational, words, ws
 MARKERS = ("Ã¢", "Ãƒ", "ÃŽ", "Â°", "Â ", "Î¼", "Î¸", "â€", "âˆ", "ï¿½")
 # Words that lost the space between them.
 JOINED = ("forauthority", "endof", "withinanarchist", "fromthe", "asdistinct")
+# Phrases of boilerplate.
 BOILERPLATE = ("cookie policy", "privacy policy", "all rights reserved", "sign up to continue")
 # Titles of reference sections.
 REFERENCE_TITLES = ("bibliography", "citations", "editions", "external links", "further reading", "general and cited references", "notes", "publications", "references", "see also", "sources", "works cited")
+# Markers at which a response ends.
 STOP_MARKERS = ("[EOS]", "[BOS]", "[PAD]", "User:", "Assistant:", "Instruction:", "Response:")
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 
@@ -115,9 +117,6 @@ def c10(d):
 @relational("c11_stop_markers")
 def c11(d):
     """Responses cut at the first stop marker."""
-    x = "response"
-    for m in STOP_MARKERS:
-        x = f"case when {d.strpos(x, repr(m))} > 0 then substr({x}, 1, cast({d.strpos(x, repr(m))} as int) - 1) else {x} end" if m == STOP_MARKERS[0] else x
     pattern = "(?s)(?:" + "|".join(m.replace("[", r"\[").replace("]", r"\]") for m in STOP_MARKERS) + ").*$"
     return f"select distinct example_id, trim({d.sub('response', pattern, '')}) as response from @instruction_examples where response is not null"
 
@@ -130,11 +129,11 @@ def c12(d):
 
 
 @relational("c13_match_context")
-def c13(d):
-    """140 characters around the first mention of a kiln, white space collapsed."""
-    at = d.strpos("text", "'kiln'")
-    return f"""with x as (select doc_id, text, {at} as p from @documents where {at} > 0)
-      select doc_id, {ws(d, "substr(text, cast(greatest(p - 140, 1) as int), cast(least(p - 1, 140) + 144 as int))")} as context from x"""
+def c13(d, pattern=r"[\p{L}\p{N}_]+\?"):
+    """140 characters around the first match of a pattern in each document (by default the end of a question), white space collapsed."""
+    hit, at = d.one("text", pattern), d.strpos("text", "hit")
+    return f"""with x as (select doc_id, text, {hit} as hit from @documents where {d.like('text', pattern)}), y as (select doc_id, text, hit, {at} as p from x)
+      select doc_id, {ws(d, "substr(text, cast(greatest(p - 140, 1) as int), cast(least(p - 1, 140) + length(hit) + 140 as int))")} as context from y"""
 
 
 # What kinds of list lines look like.
@@ -152,6 +151,7 @@ KINDS = (
     ("category", r"^\s*[A-Z][\p{L}\p{N}_ &'/-]{0,40}:\s*$"),
     ("glossary", r"^\s*\S.{1,220}?\s+[–—-]\s+\S"),
 )
+# Institutions, ends of sentences, names and tokens as the line kinds take them.
 _INSTITUTION = r"(?i)\b(?:academy|battalion|chapel|church|college|detachment|faculty|hospital|institute|institution|ministry|regiment|school|service|subdivision|university|unit)\b"
 _SENTENCE_END = r"""[.!?](?:["'’”)]*)\s*(?:$|\s)"""
 _NAMES = r"^\s*(?:[A-Z][\p{L}\p{N}_'’.-]+(?:\s+|$)){2,6}$"
@@ -202,6 +202,7 @@ def d2(d):
     return f"with {list_metrics(d, 'text_chunks', 'chunk_id')} select * from m"
 
 
+# Fixed value: how lists are introduced.
 _INTRO = r"(?i)\b(?:as follows|the following|include(?:s|d)?|consist(?:s|ed)? of)\s*:\s*$"
 
 
@@ -217,19 +218,63 @@ def d3(d):
     return f"with x as (select distinct chunk_id, text from @text_chunks where text is not null) select chunk_id, {low_information(d, 'text')} as low_information from x"
 
 
-# Signs of values that are missing, and of malformed source text (without look-around; those with it are in functions.patterns).
+# Signs of values that are missing, and of malformed source text. A look-ahead at the end of a pattern is
+# written as what follows, and one that forbids as what else may follow, so that both engines read it.
+_UNITS = r"(?:earth\s+radii|kilograms?|kilomet(?:er|re)s?|meters?|metres?|miles?|feet|seconds?|degrees?|lit(?:er|re)s?|watts?|volts?|kelvins?)"
+_QUANTITY = r"(?:distance|mass|length|height|width|area|volume|weight|speed)"
+_TRANSITION = rf"(?:Recognition\b|Upon\s+the\s+conclusion\b|In\s+(?:{_MONTHS})\s+\d{{4}}\b|This\s+is\s+(?:a|the)\s+(?:celebrated|famous|well-known)\s+passage\b)"
+_PROMISE = r"\b(?:following|quotation|quote|verses?|words|statement|passage|anecdote|theme|examples?|types?|classified|designated)\b"
+_NO_LIST = r'(?:\z|[ \t]|[^-*•▪◦"“0-9 \t]|\d+(?:\z|[^\d.)]|[.)](?:\z|\S)))'
+_EMPTY_FIELD, _ONLY_CONNECTOR = r"\(\s*[,;:]+\s*\)", r"(?i)\(\s*[,;]*\s*(?:(?:or|and)\s*[,;]*\s*)+\)"
+_ETYMOLOGY = r"\b(?:derived|borrowed|taken)(?:\s+either)?\s+from\s*,\s*(?:meaning|signifying|or\b)"
+_UNIT_ONLY = rf"\b{_QUANTITY}\s+of\s+(?:about\s+|approximately\s+)?{_UNITS}\b"
+_NO_QUANTITY = r"\b(?:distance|mass|length|height|width|area|volume|weight|speed|parallax)\s+of\s*[,.;]"
+_ISOTOPE = r"(?i)\b(?:isotope|nuclide)\s+(?:of\s*)?(?:[,.;]|(?:is|was)\s*[,.;])"
+_LIFESPAN = rf"(?i)\b(?:1\d{{3}}|20\d{{2}})(?:0?[1-9]|[12]\d|3[01])\s+(?:{_MONTHS})\b"
+_END = r"(?:\n?\z)"
 MISSING = (
-    r"\(\s*[,;:]+\s*\)", r":\s*$", r"(?i)\b(?:currently|approximately|about|nearly)\s+[.,;]", r"(?i)\b(?:total\s+)?(?:land\s+)?area\s+of\s*[,.;]",
+    _EMPTY_FIELD,
+    r"(?i)\b(?:examples?\s+are|the\s+following\s+are|the\s+(?:principal\s+)?types\s+are|(?:is|are|was|were)\s+classified\s+as|designated\s+the\s+types(?:\s+of\s+[^:\n]{1,100})?)\s*:\s*\z",
+    r":\s*\z", r"(?i)\b(?:currently|approximately|about|nearly)\s+[.,;]", r"(?i)\b(?:total\s+)?(?:land\s+)?area\s+of\s*[,.;]",
     r"(?i)\bfrom\s+(?:almost|approximately|about)\s+(?:for|to|and)\b", r"(?i)\b(?:more|less|fewer)\s+than\s+(?:of\b|[,.;])", r"(?i)\b(?:over|under|approximately|about|nearly)\s+of\b",
-    r"(?i)\b(?:delivering|spilling|containing|producing|covering)\s+of\b", r"(?i),\s*(?:of|as|is|from)\s*,", r"(?i)\bfrom\s+(?:the|an?)\s*,", r"(?i)\b(?:is|are|was|were)\s*\(\s*(?:or|and)\b",
-    r"(?i)\bvariously\s+(?:or|and)\b", r"(?i)\b(?:or|and)\s+(?:or|and)\b", r"(?i)\b(?:called|named)\s+the\s*,", r"(?i)\b(?:river|term|word|name)\s+as\s*[.,;]", r"(?i)\bfrom\s+and\s+related\s+words\b",
-    r"(?i)\bwith\s+(?:the\s+)?formula\s*[.;]", r"(?i)\bfor\s+and\s+respectively\b", r"(?i)\bis\s+equivalent\s+to\s*[,.;]", r"\(\s*;", r"(?i)\bmeasures?\s+long\b", r"(?i)\band\s+across\s+at\s+(?:its|the)\b", r"\(\s*\)", r"(?:=|≈|≃|~)\s*(?:[,.;]|$)",
+    r"(?i)\b(?:delivering|spilling|containing|producing|covering)\s+of\b", r"(?i),\s*(?:of|as|is|from)\s*,", r"(?i)\b(?:summarized|expressed|written|represented)\s+(?:formally\s+)?as\s+(?:or|and)?\s*[,.;]",
+    r"(?i)\bfrom\s+(?:the|an?)\s*,", r"(?i)\b(?:definition|formula|quotation|quote|example)\b[^.\n]{0,120}:[ \t]*\n[ \t]*\n", r"(?i)\b(?:is|are|was|were)\s*\(\s*(?:or|and)\b",
+    r"(?i)\bvariously\s+(?:or|and)\b", r"(?i)\b(?:plural|singular|comparative|superlative)\s+form\s+(?:is|are|was|were)\s*[)\],.;]", r"(?i)\b(?:or|and)\s+(?:or|and)\b",
+    r"(?i)\b(?:used|called|named|written|spelled|rendered)\s*,\s*(?:while|whereas|with|and)\b", r"(?i)\b(?:called|named)\s+the\s*,", r"(?i)\b(?:river|term|word|name)\s+as\s*[.,;]",
+    "(?i)" + _ETYMOLOGY, r"(?i)\bfrom\s+and\s+related\s+words\b", r"(?i)\b(?:mean|median|average|value|result|sum|difference|product|quotient|variance|probability)\s+(?:is|are|was|were)\s*[,.;]",
+    r"(?i)\b(?:for example|for instance),?\s+(?:consider|take|suppose)\s+(?:the|a|this)\s+(?:data\s+)?(?:sample|set|sequence|values?|numbers?)\s*[.;]",
+    r"(?i)\bsuch as\s*,\s*(?:the|a|an|this|that|these|those|it|they|we)\b", r"\(\s*(?:[A-Z][\p{L}\p{N}_ -]*|[a-z]{2,3})\s*:\s*\)", r'["“]\s*["”]', r"(?i)\bwith\s+(?:the\s+)?formula\s*[.;]",
+    "(?i)" + _UNIT_ONLY, "(?i)" + _NO_QUANTITY, _ISOTOPE, r"(?im)^\s*\((?:triangle|parallelogram|rectangle|square|circle|polygon|formula|equation)\)\s*[.;]?\s*$",
+    r"(?i)\b(?:at|nearly)\s+Mach\s+\d+(?:\.\d+)?\s+or\s*(?:on\b|[,.;]|\z|\n)", r"(?i)\bhaving\s+reached\s+on\s+\d{1,2}\s+[A-Za-z]+\b", r"(?i)\bfor\s+and\s+respectively\b",
+    r"(?i)\b(?:extends?|stretches?)\s+more\s+than\s+(?:through|across|along|over)\b",
+    r"(?i)\b(?:the\s+following\s+(?:principles|items|examples)|with\s+these\s+words|the\s+following\s+are|statistics[^.\n]{0,80}(?:released|reported)[^.\n]{0,40})\s*:[ \t]*\n[ \t]*\n" + _NO_LIST,
+    r"(?i)\b(?:an?\s+example\s+is|examples?\s+are)\s+[^\n.!?:]{2,240}\s*\n\s*\n\s*[A-Z][^\n]{0,100}\n", r"(?i)\b(?:reacts?|forms?|converts?|alkylates?|hydrogenates?)\b[^\n.]{0,240}:\s*\n\s*\n\s*[A-Z][^\n]{0,100}\n",
+    "(?i)" + _PROMISE + r"[^\n]{0,180}:\s*\n\s*\n\s*" + _TRANSITION,
+    r"(?i)\b(?:one|two|three|four|five|six|seven|eight|nine|ten|\d+)\s+(?:possible\s+)?(?:ways|forms|expressions|equations|identities|cases)\s*:\s*\n\s*\n\s*[A-Z]",
+    r"(?i)\bis\s+equivalent\s+to\s*[,.;]", r"(?i)\bmeans\s*,\s*which\s+is\s+not\s+equivalent\b", r"(?i)\bwritten\s+(?:unambiguously\s+)?as\s*\n\s*\n\s*[A-Z]", _ONLY_CONNECTOR, r"\(\s*;",
+    r"(?i)\b(?:about|approximately|around|nearly)\s+(?:north|south|east|west)\s+of\b", r"(?i)\bmeasures?\s+long\b", r"(?i)\band\s+across\s+at\s+(?:its|the)\b", r"(?i)\b(?:its|the)\s+area\s+is\s+(?:and\b|[,.;])",
+    r"(?im)(?:[.!?]\s*,\s*[A-Za-z]+\b|(?:^|\n)\s*,\s*(?:the|it|there)\b)", r"(?i)\bthe\s+[\p{L}\p{N}_]+(?:ical|ive|ary|ous)\s+\(\s*\d{3,4}\s*[–—-]\s*\d{2,4}\s*\)", r"\(\s*\)", r"(?:=|≈|≃|~)\s*(?:[,.;]|\z)",
 )
-MALFORMED = (r"(?i)\bof\s+allowed\b", r"(?i)\bAfter\s+s\s+", r"(?i)\bproject\s*,\s*,", r"\b\w+\s*,\s*,\s*\w+", r"\)\s*\.\s*;", r",{2,}", r";\s*,", rf"(?i)\b(?:{_MONTHS})\d+\b", r"(?i)\b(?:age|or|the|figure|hours?|minutes?|seconds?)\d+\b")
+_IBID = r"\b[A-Za-z]{4,}\.\s*,"
+MALFORMED = (
+    r"(?i)\bof\s+allowed\b", r"(?i)\bAfter\s+s\s+", r"(?i)\bproject\s*,\s*,", r"\b[\p{L}\p{N}_]+\s*,\s*,\s*[\p{L}\p{N}_]+", r"(?m)(?:^|\n\s*\n)\s*,\s*[A-Z]", r"\)\s*\.\s*;",
+    r"(?:\A|\n)\s*[^\n()]{1,100}\)\s*(?:\z|\n)", r"(?m)\b\d+,\s*(?:$|\n)", r",{2,}", r";\s*,", _IBID, rf"(?i)\b(?:{_MONTHS})\d+\b", r"(?i)\b(?:age|or|the|figure|hours?|minutes?|seconds?)\d+\b", _LIFESPAN,
+)
+
+
+def has(d, x, p):
+    """Whether a text has a pattern; abbreviated sentences' "ibid." is no sign of lost text."""
+    return f"({d.size(d.keep(d.all(x, p), 'm', 'not ' + d.like('lower(m)', '^ibid[.]')))} > 0)" if p == _IBID else d.like(x, p)
 
 
 def any_of(d, x, bank):
-    return "(" + " or ".join(d.like(x, p) for p in bank) + ")"
+    """Whether a text has a pattern of a bank: case-sensitive and other ones as one alternation each, but for those with options of their own."""
+    plain = [p for p in bank if not p.startswith("(?") and p != _IBID]
+    folded = [p[4:] for p in bank if p.startswith("(?i)")]
+    rest = [p for p in bank if p.startswith("(?") and not p.startswith("(?i)") or p == _IBID]
+    one = [d.like(x, "|".join(f"(?:{p})" for p in plain))] if plain else []
+    one += [d.like(x, "(?i)" + "|".join(f"(?:{p})" for p in folded))] if folded else []
+    return "(" + " or ".join(one + [has(d, x, p) for p in rest]) + ")"
 
 
 def final_gate(d):
@@ -263,51 +308,84 @@ def d6(d):
     return f"with {final_gate(d)} select chunk_id, coalesce(reason, 'kept') as reason from g"
 
 
-# Families of defects (those without look-around), with what is done about them.
+_JOINED_WORD = rf"(?i)\b(?:{_MONTHS}|age|or|the|figure|hours?|minutes?|seconds?)\d+\b"
+# Families of defects that a pattern tells, with what is done about them.
 FAMILIES = (
-    ("empty_pronunciation_or_alternate_name", "reject", r"\(\s*[,;:]+\s*\)"),
+    ("empty_pronunciation_or_alternate_name", "reject", _EMPTY_FIELD),
     ("connector_only_language_field", "reject", r"(?i)\(\s*[,;:]*\s*(?:(?:or|and)\s*[,;:]*\s*)+\)"),
-    ("missing_isotope_identifier", "reject", r"(?i)\b(?:isotope|nuclide)\s+(?:of\s*)?(?:[,.;]|(?:is|was)\s*[,.;])"),
-    ("missing_formula_or_mathematical_operand", "reject", r"(?i)\bis\s+equivalent\s+to\s*[,.;]|\bmeans\s*,\s*which\s+is\s+not\s+equivalent\b|(?:=|≈|≃|~)\s*(?:[,.;]|$)"),
-    ("missing_quoted_passage_or_enumeration", "reject", r":\s*$"),
+    ("missing_etymological_source_term", "reject", rf"(?i){_ETYMOLOGY}|\bfrom\s+and\s+related\s+words\b"),
+    ("missing_measurement_unit_or_quantity", "reject", rf"(?i){_UNIT_ONLY}|{_NO_QUANTITY}"),
+    ("missing_isotope_identifier", "reject", _ISOTOPE),
+    ("malformed_or_joined_lifespan_date", "reject", _LIFESPAN),
+    ("missing_formula_or_mathematical_operand", "reject", r"(?i)\bis\s+equivalent\s+to\s*[,.;]|\bmeans\s*,\s*which\s+is\s+not\s+equivalent\b|(?:=|≈|≃|~)\s*(?:[,.;]|\z)"),
+    ("missing_quoted_passage_or_enumeration", "reject", r":\s*\z"),
     ("repeated_punctuation_from_removed_markup", "reject", r",{2,}|;\s*,|\)\s*\.\s*;"),
-    ("joined_date_or_function_word", "reject", rf"(?i)\b(?:{_MONTHS}|age|or|the|figure|hours?|minutes?|seconds?)\d+\b"),
-    ("possible_joined_alphanumeric_formatting", "manual_review", r"\b[A-Za-z]*[a-z]{2,}\d+\b"),
+    ("joined_date_or_function_word", "reject", _JOINED_WORD),
 )
+_MIXED = r"\b[A-Za-z]*[a-z]{2,}\d+\b"
+_EXPONENT = r"(?i)^(?:cm|mm|km|ft|yd|in|mi|sp|mc|dw|sdh)\d+$"
+
+
+def findings(d):
+    """y: chunk_id, text and f, its findings as strings of family, disposition and evidence; one pass over each text.
+
+    Paragraphs that end in a promise and whose next one passes on to other matter come from a pattern over both, as
+    blank lines part them. Families of lists come from the measures of D2 and the counts of D9.
+    """
+    sep = "chr(31)"
+    cell = lambda f, a, ev, cond: f"case when {cond} then '{f}' || {sep} || '{a}' || {sep} || substr({ev}, 1, 240) end"
+    cells = [cell(f, a, d.one("text", p), d.like("text", p)) for f, a, p in FAMILIES if f != "repeated_punctuation_from_removed_markup"]
+    ibid = d.keep(d.all("text", _IBID), "m", "not " + d.like("lower(m)", "^ibid[.]"))
+    punct = FAMILIES[8][2]
+    cells.append(cell(FAMILIES[8][0], "reject", f"case when {d.like('text', punct)} then {d.one('text', punct)} else {d.at(ibid, 1)} end", f"({d.like('text', punct)} or {d.size(ibid)} > 0)"))
+    promise = "(?i)" + _PROMISE + r"[^\n]{0,180}:[ \t]*\n\s*\n\s*" + _TRANSITION
+    cells.append(cell("heading_or_commentary_after_omitted_material", "reject", d.one("text", promise), d.like("text", promise)))
+    mixed = d.keep(d.all("text", _MIXED), "m", f"not {d.like('m', _EXPONENT)} and not {d.like('m', '^(?:' + _JOINED_WORD + ')$')}")
+    cells.append(cell("possible_joined_alphanumeric_formatting", "manual_review", d.at(mixed, 1), f"{d.size(mixed)} > 0"))
+    entries = f"greatest(publications, entries)"
+    cells.append(cell("publication_adaptation_or_catalogue_dominated", "manual_review", "text", f"{entries} >= 4 and {entries} >= 0.5 * nonempty_line_count and prose_token_ratio >= 0.65"))
+    cells.append(cell("publication_adaptation_or_catalogue_dominated", "reject", "text", f"{entries} >= 4 and {entries} >= 0.5 * nonempty_line_count and prose_token_ratio < 0.65"))
+    cells.append(cell("fragmented_or_structured_list", "reject", "text", "(maximum_consecutive_list_like_lines >= 6 or list_block_count >= 2) and list_like_line_count >= 6 and prose_token_ratio < 0.65"))
+    arr = f"{'array' if d.spark else 'list_value'}({', '.join(cells)})"
+    return f"""{list_metrics(d, 'text_chunks', 'chunk_id')}, {_entries(d)},
+      t as (select chunk_id, max(text) as text from @text_chunks where text is not null group by 1),
+      y as (select t.chunk_id, t.text, {d.keep(arr, 'z', 'z is not null')} as f from t left join m on t.chunk_id = m.chunk_id left join ent on t.chunk_id = ent.chunk_id),
+      fd as (select chunk_id, {d.explode('f')} as z from y), found as (select chunk_id, {d.at(d.split('z', chr(31)), 1)} as family, {d.at(d.split('z', chr(31)), 2)} as disposition, {d.at(d.split('z', chr(31)), 3)} as evidence from fd)"""
+
+
+def _entries(d):
+    pub, cat = KINDS[5][1], KINDS[6][1]
+    return f"""ent as (select chunk_id, {d.int("sum(case when " + d.like('l', pub) + " then 1 else 0 end)")} as publications, {d.int("sum(case when " + d.like('l', cat) + " then 1 else 0 end)")} as entries, count(*) as n_lines from line group by 1)"""
 
 
 @relational("d7_defect_families")
 def d7(d):
-    """Each family of defects that a chunk shows, with the text that shows it."""
-    x = "select distinct chunk_id, text from @text_chunks where text is not null"
-    return " union all ".join(f"select chunk_id, '{f}' as family, '{a}' as disposition, substr({d.one('text', p)}, 1, 240) as evidence from ({x}) x where {d.like('text', p)}" for f, a, p in FAMILIES)
+    """Each family of defects that a chunk shows, what is done about it, and the text that shows it."""
+    return f"with {findings(d)} select chunk_id, family, disposition, evidence from found"
 
 
 @relational("d10_quality_audit")
 def d10(d):
-    """Chunks by family of defect, and how many of them the gate rejects for it."""
-    x = "select distinct chunk_id, text from @text_chunks where text is not null"
-    found = " union all ".join(f"select chunk_id, '{f}' as family, '{a}' as disposition from ({x}) x where {d.like('text', p)}" for f, a, p in FAMILIES)
-    return f"with {final_gate(d)}, f as ({found}) select family, disposition, count(*) as n, {d.int("sum(case when disposition = 'manual_review' or reason is not null then 1 else 0 end)")} as explained from f join g on f.chunk_id = g.chunk_id group by 1, 2"
+    """Chunks by family of defect, and how many of them are to be reviewed or rejected by the gate."""
+    gate_ = final_gate(d)[len(list_metrics(d, 'text_chunks', 'chunk_id')):]
+    return f"with {findings(d)}{gate_} select family, disposition, count(*) as n, {d.int("sum(case when disposition = 'manual_review' or reason is not null then 1 else 0 end)")} as explained from found join g on found.chunk_id = g.chunk_id group by 1, 2"
 
 
 @relational("d8_promised_material")
 def d8(d):
-    """Paragraphs that promise something which the next paragraph doesn't give."""
+    """Paragraphs that promise something where the next paragraph passes on to other matter."""
     src = "select distinct chunk_id, text from @text_chunks where text is not null"
     sep = r"\n\s*\n"
     ps = f"select chunk_id, posexplode(split(text, {d.q(sep)})) as (p, t) from ({src})" if d.spark else f"select chunk_id, unnest(range(len(regexp_split_to_array(text, {d.q(sep)})))) as p, unnest(regexp_split_to_array(text, {d.q(sep)})) as t from ({src})"
     nxt = "lead(t) over (partition by chunk_id order by p)"
-    return f"with x as ({ps}), y as (select chunk_id, p, trim(t) as t, {nxt} as after from x where trim(t) <> '') select chunk_id, {d.int('p')} as paragraph from y where after is not null and {d.like('t', r':$')} and not {d.like('after', r'^\s*(?:[-*•]|\d+[.)]|“)')}"
+    return f"with x as ({ps}), y as (select chunk_id, p, t, {nxt} as after from (select chunk_id, p, trim(t) as t from x) x2 where t <> '') select chunk_id, {d.int('p')} as paragraph from y where after is not null and {d.like('t', '(?i)' + _PROMISE + r'[^\n]{0,180}:\z')} and {d.like('after', '(?i)^' + _TRANSITION)}"
 
 
 @relational("d9_catalogue_dominance")
 def d9(d):
-    """Chunks of which half the lines, four or more, are catalogue entries."""
-    pub, cat = KINDS[5][1], KINDS[6][1]
-    return f"""with {lines(d, 'text_chunks', 'chunk_id')} select chunk_id, {d.int("sum(case when " + d.like('l', pub) + " then 1 else 0 end)")} as publications, {d.int("sum(case when " + d.like('l', cat) + " then 1 else 0 end)")} as entries, count(*) as n
-      from line group by 1 having greatest(sum(case when {d.like('l', pub)} then 1 else 0 end), sum(case when {d.like('l', cat)} then 1 else 0 end)) >= 4
-      and greatest(sum(case when {d.like('l', pub)} then 1 else 0 end), sum(case when {d.like('l', cat)} then 1 else 0 end)) >= 0.5 * count(*)"""
+    """Chunks of which half the lines, four or more, are catalogue entries; those of much prose are to be reviewed."""
+    return f"""with {list_metrics(d, 'text_chunks', 'chunk_id')}, {_entries(d)} select ent.chunk_id, publications, entries, n_lines as n, case when prose_token_ratio >= 0.65 then 'manual_review' else 'reject' end as disposition
+      from ent join m on ent.chunk_id = m.chunk_id where greatest(publications, entries) >= 4 and greatest(publications, entries) >= 0.5 * n_lines"""
 
 
 def heading(d, x):
