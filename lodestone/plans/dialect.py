@@ -56,6 +56,13 @@ class Dialect:
     def json_object(self, x): return f"(try_parse_json({x}) is not null and schema_of_variant(try_parse_json({x})) like 'OBJECT%')"
     def strpos(self, a, b): return f"cast(locate({b}, {a}) as bigint)"
     def ascii_only(self, x): return self.like(x, r"^[\x00-\x7f]*$")
+    def hex_int(self, x): return f"cast(conv({x}, 16, 10) as bigint)"
+    def values(self, rows, names): return f"(select * from values {rows} as v({names}))"
+    def struct_list(self, *xs): return f"array({', '.join(xs)})"
+    def json_keys(self, x): return f"coalesce(json_object_keys({x}), array())"
+    def json_type(self, x, k): return f"schema_of_variant(try_variant_get(try_parse_json({x}), concat('$.', {k}), 'variant'))"
+    def has_item(self, a, x): return f"array_contains({a}, {x})"
+    def std(self, x): return f"stddev_pop({x})"
 
 
 class Duck(Dialect):
@@ -88,6 +95,11 @@ class Duck(Dialect):
     def sum_of(self, x): return f"cast(coalesce(list_sum({x}), 0) as bigint)"
     def json_object(self, x): return f"(json_valid({x}) and json_type({x}) = 'OBJECT')"
     def strpos(self, a, b): return f"cast(strpos({a}, {b}) as bigint)"
+    def hex_int(self, x): return f"cast('0x' || {x} as bigint)"
+    def values(self, rows, names): return f"(select * from (values {rows}) as v({names}))"
+    def struct_list(self, *xs): return f"list_value({', '.join(xs)})"
+    def json_keys(self, x): return f"case when json_valid({x}) and json_type({x}) = 'OBJECT' then json_keys({x}) else cast([] as varchar[]) end"
+    def has_item(self, a, x): return f"list_contains({a}, {x})"
 
 
 def ws(d, x):
@@ -116,6 +128,17 @@ def grams(d, ws_, k, sep):
     return d.let(ws_, "gw", f"case when {n} >= {k} then {runs} else {d.empty()} end")
 
 
+def ranked_by_hash(d, rel, key, cols, name="ranked"):
+    """CTEs that give each row of rel its place (from 1) in the order of a hex hash, and n, the number of rows.
+
+    The place is that within the hash's first two digits plus the rows before
+    these, so no task sorts all rows.
+    """
+    return f"""{name}_h as (select {cols}, {key} as hk from {rel}), {name}_c as (select substr(hk, 1, 2) as hb, count(*) as c from {name}_h group by 1),
+      {name}_o as (select hb, sum(c) over (order by hb) - c as before, sum(c) over () as n from {name}_c),
+      {name} as (select {cols}, cast(row_number() over (partition by substr(hk, 1, 2) order by hk, {cols}) + o.before as bigint) as r, cast(o.n as bigint) as n from {name}_h h join {name}_o o on substr(h.hk, 1, 2) = o.hb)"""
+
+
 _TABLE = re.compile(r"@(\w+)")
 
 

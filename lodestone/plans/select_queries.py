@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from .dialect import norm, relational, words
+import random
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.records import in_order
+from .dialect import norm, ranked_by_hash, relational, words
+from .registry import query
 
 SEED = "42"
 
@@ -19,8 +26,8 @@ CH = "(select distinct chunk_id, document_id, chunk_index, source_id, lower(trim
 @relational("h1_parent_split")
 def h1(d):
     """Parents in training or validation: a twentieth of them, by hash rank, validates."""
-    return f"""with p as (select distinct document_id from @base_text_chunks where document_id is not null), r as (select document_id, row_number() over (order by {rank_key(d, 'document_id')}, document_id) as r, count(*) over () as n from p)
-      select document_id, case when r <= greatest(1, least(n - 1, {d.half_even('n * 0.05')})) then 'validation' else 'train' end as split from r"""
+    return f"""with p as (select distinct document_id from @base_text_chunks where document_id is not null), {ranked_by_hash(d, 'p', rank_key(d, 'document_id'), 'document_id')}
+      select document_id, case when r <= greatest(1, least(n - 1, {d.half_even('n * 0.05')})) then 'validation' else 'train' end as split from ranked"""
 
 
 @relational("h2_stratified_split")
@@ -43,18 +50,34 @@ def h3(d):
       select r.example_id, r.source_type, r.capability from r join q on r.source_type = q.source_type and r.capability = q.capability where r.r <= q.quota"""
 
 
-@relational("h5_spread_sample")
-def h5(d):
+def _at_places(spark: SparkSession, df: DataFrame, key: str, k: int, place, name: str) -> DataFrame:
+    """The rows of df that stand at places place(i, n) of the order of key, i below k; no task sorts all rows."""
+    x = in_order(df, key)
+    n = F.lit(x.count())
+    want = spark.range(k).select(F.col("id").alias(name), place(F.col("id"), n).cast("long").alias("r"))
+    return x.join(F.broadcast(want), "r").select(name, key)  # k rows
+
+
+@query("h5_spread_sample", """with r as (select doc_id, row_number() over (order by doc_id) - 1 as r from documents), c as (select count(*) as n from documents)
+  select cast(p as bigint) as p, doc_id from range(0, 50) t(p), c join r on r.r = cast(floor(p * (n - 1) / 49.0) as bigint)""")
+def h5(spark: SparkSession, sf: str) -> DataFrame:
     """Fifty documents spread evenly over the order of ids, with both ends."""
-    return f"""with r as (select doc_id, row_number() over (order by doc_id) - 1 as r, count(*) over () as n from @documents),
-      p as (select {d.explode(d.seq('0', '49'))} as p), g as (select p, {d.int('floor(p * (n - 1) / 49.0)')} as r from p, (select count(*) as n from @documents) c)
-      select {d.int('g.p')} as p, r.doc_id from g join r on g.r = r.r"""
+    return _at_places(spark, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id"), "doc_id", 50, lambda i, n: F.floor(i * (n - 1) / 49), "p")
+
+
+@query("h6_proxy_sample", """with d as (select distinct example_id from instruction_examples where example_id is not null), r as (select example_id, row_number() over (order by example_id) - 1 as r from d), c as (select count(*) as n from d)
+  select cast(i as bigint) as i, example_id from range(0, 20) t(i), c join r on r.r = cast(floor(i * n / 20.0) as bigint)""")
+def h6(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty examples at even steps of the order of ids."""
+    x = spark.read.parquet(f"{sf}/instruction_examples.parquet").select("example_id").filter("example_id is not null").distinct()
+    return _at_places(spark, x, "example_id", 20, lambda i, n: F.floor(i * n / 20), "i")
 
 
-@relational("h6_proxy_sample")
-def h6(d):
-    return f"""with r as (select example_id, row_number() over (order by example_id) - 1 as r from {EX} x), p as (select {d.explode(d.seq('0', '19'))} as i),
-      g as (select i, {d.int('floor(i * n / 20.0)')} as r from p, (select count(*) as n from {EX} x) c) select {d.int('g.i')} as i, r.example_id from g join r on g.r = r.r"""
+@query("h4_seeded_rows", None)
+def h4(spark: SparkSession, sf: str, k: int = 40, seed: int = 42) -> DataFrame:
+    """Forty documents at even steps of the order of ids, from an offset that the seed gives (drawn by a Mersenne twister, once)."""
+    offset = random.Random(seed).random()
+    return _at_places(spark, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id"), "doc_id", k, lambda i, n: F.least(n - 1, F.floor((i + F.lit(offset)) * n / k)), "p")
 
 
 @relational("h7_hash_reservation")
@@ -107,9 +130,10 @@ def h13(d):
 
 
 @relational("h14_epoch_order")
-def h14(d):
-    """An order of all documents for epoch 1, by hash of seed, epoch and id."""
-    return f"select doc_id, {d.int('row_number() over (order by ' + rank_key(d, chr(39) + '1' + chr(39), 'doc_id') + ', doc_id)')} as seq from @documents"
+def h14(d, epoch=1, batch=32, resume=0):
+    """An order of all documents for an epoch, by hash of seed, epoch and id, in batches; a run that resumes leaves out the batches it has done."""
+    one = f"'{epoch}'"
+    return f"with {ranked_by_hash(d, '@documents', rank_key(d, one, 'doc_id'), 'doc_id')} select doc_id, r as seq, {d.int(f'floor((r - 1) / {batch}.0)')} as batch from ranked where r > {resume * batch}"
 
 
 M = "(select mixture_id, source_id, sum(weight) as weight, max(domain) as domain, min(max_repeats) as max_repeats from @mixture_sources group by 1, 2)"
@@ -140,7 +164,9 @@ def schedule(d):
       need as (select mixture_id, source_id, n, have from alloc join (select source, count(*) as have from @documents group by 1) h on alloc.source_id = h.source where n > 0),
       ep as (select mixture_id, source_id, n, have, {d.explode(d.seq('0', d.int('ceil(n / cast(have as double))') + ' - 1'))} as epoch from need),
       pick as (select ep.mixture_id, ep.source_id, epoch, doc_id, n, row_number() over (partition by ep.mixture_id, ep.source_id order by epoch, {rank_key(d, 'ep.source_id', 'epoch', 'doc_id')}) as local from ep join pool on ep.source_id = pool.source),
-      sched as (select mixture_id, source_id, doc_id, epoch, local, cast(row_number() over (partition by mixture_id order by {rank_key(d, 'mixture_id', 'source_id', 'local')}, source_id, local) as bigint) as seq from pick where local <= n)"""
+      sched as (select mixture_id, source_id, doc_id, epoch, local, cast(row_number() over (partition by mixture_id, substr(hk, 1, 2) order by hk, source_id, local) + before as bigint) as seq from
+        (select p.*, o.before from (select *, substr(hk, 1, 2) as hb from (select *, {rank_key(d, 'mixture_id', 'source_id', 'local')} as hk from pick where local <= n) k) p
+          join (select mixture_id, hb, sum(c) over (partition by mixture_id order by hb) - c as before from (select mixture_id, substr({rank_key(d, 'mixture_id', 'source_id', 'local')}, 1, 2) as hb, count(*) as c from pick where local <= n group by 1, 2) g) o on p.mixture_id = o.mixture_id and p.hb = o.hb) z)"""
 
 
 @relational("i5_schedule")
