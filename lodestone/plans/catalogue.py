@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup_queries, prepare_queries, record_queries, score_queries, select_queries, text_queries  # noqa: F401
+from . import check_queries, dedup_queries, prepare_queries, record_queries, score_queries, select_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 

@@ -59,8 +59,10 @@ class Dialect:
     def hex_int(self, x): return f"cast(conv({x}, 16, 10) as bigint)"
     def values(self, rows, names): return f"(select * from values {rows} as v({names}))"
     def struct_list(self, *xs): return f"array({', '.join(xs)})"
-    def json_keys(self, x): return f"coalesce(json_object_keys({x}), array())"
-    def json_type(self, x, k): return f"schema_of_variant(try_variant_get(try_parse_json({x}), concat('$.', {k}), 'variant'))"
+    def json_keys(self, x): return f"coalesce(json_object_keys({x}), cast(array() as array<string>))"
+    def json_kind(self, x, k):
+        t = f"schema_of_variant(element_at(try_cast(try_parse_json({x}) as map<string, variant>), {k}))"
+        return f"case when {t} = 'STRING' then 'string' when {t} = 'BOOLEAN' then 'boolean' when {t} = 'VOID' then 'null' when {t} like 'ARRAY%' then 'array' when {t} like 'OBJECT%' then 'object' when {t} is not null then 'number' end"
     def has_item(self, a, x): return f"array_contains({a}, {x})"
     def std(self, x): return f"stddev_pop({x})"
 
@@ -99,6 +101,9 @@ class Duck(Dialect):
     def values(self, rows, names): return f"(select * from (values {rows}) as v({names}))"
     def struct_list(self, *xs): return f"list_value({', '.join(xs)})"
     def json_keys(self, x): return f"case when json_valid({x}) and json_type({x}) = 'OBJECT' then json_keys({x}) else cast([] as varchar[]) end"
+    def json_kind(self, x, k):
+        t = f"json_type({x}, '$.\"' || {k} || '\"')"
+        return f"case when {t} = 'VARCHAR' then 'string' when {t} = 'BOOLEAN' then 'boolean' when {t} = 'NULL' then 'null' when {t} = 'ARRAY' then 'array' when {t} = 'OBJECT' then 'object' when {t} is not null then 'number' end"
     def has_item(self, a, x): return f"list_contains({a}, {x})"
 
 

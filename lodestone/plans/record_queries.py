@@ -65,12 +65,12 @@ packed("j6_turn_budget", lambda d: f"(select grp, block, hk, id, prompt, n from
 
 def replayed(d, epochs=2):
     """Examples of each replay epoch, in an order of its own."""
-    each = " union all ".join(f"select cast({e} as bigint) as epoch, x.*, {rank_key(d, chr(39) + str(e) + chr(39), 'example_id')} as hk from {EX} x where capability = 'reasoning' and instruction is not null and response is not null" for e in range(epochs))
+    each = " union all ".join(f"select cast({e} as bigint) as epoch, x.*, {rank_key(d, chr(39) + str(e) + chr(39), 'example_id')} as hk from {EX} x where instruction is not null and response is not null" for e in range(epochs))
     p = f"({d.size(words(d, 'instruction'))} + 2)"
     return f"(select epoch, substr(hk, 1, 1) as block, hk, example_id as id, {p} as prompt, {p} + {d.size(words(d, 'response'))} + 1 as n from ({each}) z)"
 
 
-packed("j8_replay_records", replayed, ["epoch"], WIDTH, False, "select epoch, block, count(distinct record) as records, count(*) as examples, count(distinct id) as ids, cast(sum(kept) as bigint) as real_tokens from walk where state = 'complete' group by 1, 2", "Records of the reasoning examples over two replay epochs, each in an order of its own.")
+packed("j8_replay_records", replayed, ["epoch"], WIDTH, False, "select epoch, block, count(distinct record) as records, count(*) as examples, count(distinct id) as ids, cast(sum(kept) as bigint) as real_tokens from walk where state = 'complete' group by 1, 2", "Records of all examples over two replay epochs, each in an order of its own.")
 
 
 @relational("j2_flattened_dialogues")

@@ -6,64 +6,18 @@ from .dialect import grams, relational, words, ws
 from .select_queries import EX
 from .text_queries import gate
 
-CAPS = "('short_factual_qa', 'explanation', 'comparison', 'list_writing', 'rewriting', 'advice', 'reasoning')"
-
-
-@relational("k1_record_validation")
-def k1(d):
-    """Codes of broken rules of the examples, with how many break each."""
-    rules = {"missing_instruction": "instruction is null or trim(instruction) = ''", "missing_response": "response is null or trim(response) = ''", "unknown_capability": f"capability not in {CAPS}",
-             "missing_language": "language is null", "short_response": "length(trim(response)) < 3", "unknown_split": "coalesce(split, '') not in ('train', 'validation', 'test')", "copied_instruction": "lower(trim(instruction)) = lower(trim(response))"}
-    return " union all ".join(f"select '{k}' as code, count(*) as n from {EX} x where {v}" for k, v in rules.items())
-
-
-@relational("k2_format_constraints")
-def k2(d):
-    """Whether the responses of examples with a format keep it: bullets and numbered steps, by kind and count."""
-    b, n = d.size(d.all("response", r"(?m)^\s*[-*•]\s+\S")), d.size(d.all("response", r"(?m)^\s*\d+[.)]\s+\S"))
-    return f"""with x as (select distinct example_id, response, format_constraints.type as kind, format_constraints.count as want from @instruction_examples where response is not null)
-      select kind, want, count(*) as n, {d.int(f"sum(case when kind = 'bullet_list' and {b} = want or kind = 'numbered_list' and {n} = want or kind = 'none' then 1 else 0 end)")} as kept from x group by 1, 2"""
-
-
 @relational("k3_duplicate_ids")
 def k3(d):
     """Ids that stand in more than one row, and whether the rows differ in content."""
     return "select example_id, count(*) as n, count(distinct coalesce(instruction, '') || chr(10) || coalesce(response, '')) > 1 as differ from @instruction_examples group by 1 having count(*) > 1"
 
 
-@relational("k4_quality_score")
-def k4(d):
-    """A score of each example: a hundred less 20 for each error, 15 for a repeated instruction, 10 for odd length."""
-    err = "case when instruction is null or trim(instruction) = '' then 1 else 0 end + case when response is null or trim(response) = '' then 1 else 0 end + case when language is null then 1 else 0 end"
-    return f"""with x as (select *, count(*) over (partition by lower(trim(instruction))) as same from {EX} e)
-      select example_id, greatest(0, 100 - 20 * ({err}) - case when same > 1 then 15 else 0 end - case when coalesce(length(response), 0) < 10 or length(response) > 400 then 10 else 0 end) as score from x"""
-
-
-@relational("k5_review_join")
-def k5(d):
-    """Review states of the examples against their author states."""
-    return "with x as (select distinct example_id, quality.author_status as a, quality.review_status as r, quality.reviewer_id as who from @instruction_examples) select coalesce(a, 'none') as author_status, coalesce(r, 'unreviewed') as review_status, who is null as without_reviewer, count(*) as n from x group by 1, 2, 3"
-
-
 @relational("k6_distribution_report")
 def k6(d):
     """Share of each capability against an even share."""
     return f"select capability, count(*) as n, round(count(*) / cast(sum(count(*)) over () as double), 6) as actual, round(cast(1 as double) / count(*) over (), 6) as target from {EX} x group by 1"
 
 
-@relational("k8_response_checks")
-def k8(d):
-    """Checks of the responses: non-empty, ends in punctuation, free of leaked roles, within 60 words."""
-    checks = {"non_empty": "trim(response) <> ''", "terminal_punctuation": d.like("response", r"[.!?]\s*$"), "no_role_leak": "not " + d.like("response", r"\b(?:User|Assistant):"), "at_most_60_words": f"{d.size(words(d, 'response'))} <= 60", "ascii_only": d.ascii_only("response")}
-    return " union all ".join(f"select '{k}' as check_name, {d.int(f'sum(case when {v} then 1 else 0 end)')} as passed, count(*) as n from {EX} x where response is not null" for k, v in checks.items())
-
-
-@relational("k9_repetition_ratio")
-def k9(d):
-    w = d.let(d.keep(d.split(f"lower({ws(d, 'text')})", " "), "t", "t <> ''"), "kw", f"case when {d.size('kw')} = 0 then 0.0 else round(1.0 - cast({d.size(d.distinct('kw'))} as double) / {d.size('kw')}, 6) end")
-    return f"select doc_id, {w} as ratio from @documents"
-
-
 @relational("k10_repetition_metrics")
 def k10(d):
     """Shares of repeated one-, two- and three-word runs, and of repeated sentences."""
@@ -75,22 +29,6 @@ def k10(d):
     return f"select doc_id, {share(w)} as unigrams, {share(grams(d, w, 2, ' '))} as bigrams, {share(grams(d, w, 3, ' '))} as trigrams, {share(s)} as sentences from @documents"
 
 
-@relational("k11_rule_scores")
-def k11(d):
-    """Rules met by the responses: a single number, lines, numbered steps, bullets, a JSON object."""
-    nums = d.all("response", r"\b[0-9]+(?:\.[0-9]+)?\b")
-    return f"""select capability, {d.int(f'sum(case when {d.size(nums)} = 1 then 1 else 0 end)')} as single_number, {d.int(f"sum({d.size(d.all('response', '(?m)^.*[^ ].*$'))})")} as text_lines,
-      {d.int(f"sum({d.size(d.all('response', '(?m)^ *[0-9]+[.)] '))})")} as steps, {d.int(f"sum({d.size(d.all('response', '(?m)^ *[-*] '))})")} as bullets, {d.int(f"sum(case when {d.json_object('response')} then 1 else 0 end)")} as json_objects from {EX} x where response is not null group by 1"""
-
-
-@relational("k12_distinct_n")
-def k12(d):
-    def ratio(k):
-        return d.let(grams(d, words(d, "lower(response)"), k, " "), "dn", f"case when {d.size('dn')} = 0 then 0.0 else round(cast({d.size(d.distinct('dn'))} as double) / {d.size('dn')}, 6) end")
-
-    return f"select example_id, {ratio(1)} as distinct_1, {ratio(2)} as distinct_2 from {EX} x where response is not null"
-
-
 @relational("k13_corpus_distinct_n")
 def k13(d):
     """Share of different two-word runs over all responses of a capability; runs don't cross responses."""
@@ -124,13 +62,6 @@ def k17(d):
       select chunk_id, round(1.0 - cast({d.size(d.distinct(g))} as double) / ({n} - 1), 6) as repetition, {at(0)} = {at(2)} and {at(2)} = {at(4)} and {at(1)} = {at(3)} and {at(3)} = {at(5)} as terminal_loop from c"""
 
 
-@relational("k21_pattern_coverage")
-def k21(d):
-    """How many responses show each style."""
-    pats = {"numbered": r"(?m)^\s*\d+[.)]", "bulleted": r"(?m)^\s*[-*•]", "question": r"\?\s*$", "code": r"```", "year": r"\b1[4-9]\d\d\b", "quote": r"[“„«]"}
-    return " union all ".join(f"select '{k}' as pattern, count(*) as n from {EX} x where response is not null and {d.like('response', p)}" for k, p in pats.items())
-
-
 @relational("k24_style_indicators")
 def k24(d):
     pats = {"heading": r"(?m)^#+ |^[A-Z][a-z]+:$", "citation": r"\[\d+\]|\(\d{4}\)", "article_lead": r"^(?:The|A|An) [a-z]+ "}
@@ -143,11 +74,6 @@ def k25(d):
     return f"select distinct record_id, {d.size(d.all('text', ' +[,.;:!?]|[a-z][.!?][A-Z]'))} as places from @retrieved_source_records where text is not null and {d.like('text', ' +[,.;:!?]|[a-z][.!?][A-Z]')}"
 
 
-@relational("k28_review_queue")
-def k28(d):
-    return "with x as (select distinct example_id, capability, coalesce(quality.review_status, 'unreviewed') as status from @instruction_examples) select status, capability, count(*) as n from x group by 1, 2"
-
-
 @relational("l2_diversity")
 def l2(d):
     """Parents, chunks and sizes of each source's chunks."""
