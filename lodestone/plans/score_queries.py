@@ -162,23 +162,3 @@ def l23(d):
     rs = "('accepted', 'empty_text', 'missing_identity', 'non_english', 'redirect', 'disambiguation', 'too_short', 'too_long')"
     items = "explode(array" + rs + ")" if d.spark else "unnest([" + rs[1:-1] + "])"
     return f"{gate(d)}, r as (select {items} as reason) select r.reason, count(g.doc_id) as n from r left join gated g on coalesce(g.reason, 'accepted') = r.reason group by 1"
-
-
-@relational("b5_canonical_hash")
-def b5(d):
-    """Hash of each document's canonical JSON: sorted keys, no spaces."""
-    j = """'{"doc_id":' || cast(doc_id as varchar(20)) || ',"n_chars":' || cast(n_chars as varchar(20)) || ',"source":"' || source || '"}'"""
-    return f"select doc_id, {d.sha(j)} as sha256 from @documents where source is not null"
-
-
-@relational("b8_quarantined_release")
-def b8(d):
-    """Documents but for those of quarantined sources' shortest hundred, with counts that must close."""
-    return "with q as (select doc_id from @documents order by length(text), doc_id limit 100), k as (select d.doc_id, d.source from @documents d where not exists (select 1 from q where q.doc_id = d.doc_id)) select source, count(*) as kept, count(*) + 0 = count(distinct doc_id) as closes from k group by 1"
-
-
-@relational("b10_record_diff")
-def b10(d):
-    """Chunks of the first and of the last delivery: unchanged, changed."""
-    h = lambda f: f"{f}({d.sha('text')})"
-    return f"select chunk_id, case when {h('min')} = {h('max')} then 'unchanged' else 'changed' end as state, count(*) as deliveries from @text_chunks where text is not null group by 1"

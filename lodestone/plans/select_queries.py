@@ -226,12 +226,6 @@ def m2(d):
 # Token records.
 
 
-@relational("a2_projected_scan")
-def a2(d):
-    """Rows after the first hundred ids, two columns of them."""
-    return "select doc_id, source from @documents where doc_id > 100"
-
-
 @relational("a3_point_read")
 def a3(d):
     """Documents that stand in records' row references."""
@@ -275,19 +269,6 @@ def a10(d):
     return f"select chunk_id, {d.sum_of(d.map(part, 'm', d.int('m')))} as targets from {CH} x where stored_mask is not null"
 
 
-@relational("a16_eligible_chunks")
-def a16(d):
-    """Of each parent, its chunk of 32 tokens or more with the lowest hash."""
-    return f"with r as (select document_id, chunk_id, row_number() over (partition by document_id order by {rank_key(d, 'chunk_id')}, chunk_id) as r from {CH} x where {d.size('token_ids')} >= 32) select document_id, chunk_id from r where r = 1"
-
-
-@relational("a17_gaps")
-def a17(d):
-    """Documents whose chunk numbers have gaps or repeat."""
-    return f"""with x as (select document_id, chunk_index, lag(chunk_index) over (partition by document_id order by chunk_index, chunk_id) as before from {CH} x)
-      select document_id, {d.int("sum(case when chunk_index > before + 1 then 1 else 0 end)")} as gaps, {d.int("sum(case when chunk_index = before then 1 else 0 end)")} as repeats from x group by 1 having sum(case when chunk_index > before + 1 or chunk_index = before then 1 else 0 end) > 0"""
-
-
 @relational("e12_shard_check")
 def e12(d):
     """Token counts and id range of each source, and whether ids fit the vocabulary of 32,000."""
