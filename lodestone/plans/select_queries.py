@@ -183,36 +183,12 @@ def i6(d):
         case when avg(cast(c as double)) > 4 then 'hard_limit' when avg(cast(c as double)) > 2 then 'warning' else 'pass' end as status from full_ group by 1, 2"""
 
 
-@relational("i11_schedule_checks")
-def i11(d):
-    """Whether each schedule's counts are those allotted and its places are 1..n."""
-    return f"""with {schedule(d)}, a as (select mixture_id, source_id, count(*) as got from sched group by 1, 2), t as (select mixture_id, max(seq) = count(*) and count(distinct seq) = count(*) as dense from sched group by 1)
-      select need.mixture_id, need.source_id, need.n = coalesce(a.got, 0) as count_matches, t.dense from need left join a on need.mixture_id = a.mixture_id and need.source_id = a.source_id join t on t.mixture_id = need.mixture_id"""
-
-
 @relational("i7_source_cursor")
 def i7(d):
     """The record that each place of a schedule takes: its source's places so far."""
     return f"with {schedule(d)} select mixture_id, seq, source_id, cast(row_number() over (partition by mixture_id, source_id order by seq) - 1 as bigint) as record_index from sched"
 
 
-@relational("i10_paired_arms")
-def i10(d):
-    """Sources whose share differs between two mixtures, or that only one has."""
-    return f"""with a as (select * from {M} x where mixture_id = 'mix_base'), b as (select * from {M} x where mixture_id = 'mix_factual')
-      select coalesce(a.source_id, b.source_id) as source_id, a.source_id is null as only_right, b.source_id is null as only_left, round(coalesce(b.weight, 0.0) - coalesce(a.weight, 0.0), 6) as difference from a full outer join b on a.source_id = b.source_id"""
-
-
-@relational("m1_mixture_checks")
-def m1(d):
-    """Violations in the mixtures: weights, repeats, sources without documents, weight sums, licences."""
-    return """select 'weight_not_positive' as check_name, mixture_id || '/' || source_id as item from @mixture_sources where weight is null or weight <= 0
-      union all select 'repeats_not_positive', mixture_id || '/' || source_id from @mixture_sources where max_repeats is null or max_repeats < 1
-      union all select 'source_without_documents', mixture_id || '/' || source_id from @mixture_sources m where not exists (select 1 from @documents d where d.source = m.source_id)
-      union all select 'licence_missing', mixture_id || '/' || source_id from @mixture_sources where license is null
-      union all select 'weights_not_one', mixture_id from @mixture_sources group by mixture_id having abs(sum(weight) - 1.0) > 0.000001"""
-
-
 @relational("m2_progress_checks")
 def m2(d):
     """Violations in the sources' checkpoints."""
