@@ -98,13 +98,6 @@ def l5(d):
       from {EX} x where language is not null and difficulty is not null and split is not null and response is not null group by grouping sets ((), (capability), (language), (difficulty), (split))"""
 
 
-@relational("l6_strata")
-def l6(d):
-    """Means over the strata of each example, as pairs of field and name."""
-    f = {"language": "language", "difficulty": "difficulty", "source_type": "source_type"}
-    return "with s as (" + " union all ".join(f"select '{k}' as field, {v} as name, length(response) as v from {EX} x where {v} is not null and response is not null" for k, v in f.items()) + ") select field, name, count(*) as n, round(avg(v), 6) as mean from s group by 1, 2"
-
-
 @relational("l10_paired_runs")
 def l10(d):
     """Chunks of two tables' sources compared: counts and difference, with sources that only one has."""
@@ -149,13 +142,6 @@ def l19(d):
     return f"with n as (select count(distinct item_id) as n from @fingerprints), b as (select {d.explode('array(1, 5, 10, 25)' if d.spark else '[1, 5, 10, 25]')} as size) select {d.int('size')} as size, {d.int('ceil(n / cast(size as double))')} as requests, round(cast(ceil(n / cast(size as double)) as double) / cast(4 as double), 6) as seconds from b, n"
 
 
-@relational("l22_category_rollup")
-def l22(d):
-    """Prompts by overlapping groups: all, questions, reasoning, with how many have fewer than eight words."""
-    g = {"all": "true", "questions": "prompt like '%?%'", "reasoning": "category = 'reasoning'"}
-    return " union all ".join(f"select '{k}' as name, count(*) as n, {d.int(f'sum(case when {d.size(words(d, chr(112) + chr(114) + chr(111) + chr(109) + chr(112) + chr(116)))} < 8 then 1 else 0 end)')} as short from @prompts where {v}" for k, v in g.items())
-
-
 @relational("l23_review_summary")
 def l23(d):
     """Reasons of the document filter over a fixed list, with those that never occur."""

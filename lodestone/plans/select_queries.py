@@ -88,13 +88,19 @@ def h7(d):
 
 
 @relational("h8_review_selection")
-def h8(d):
-    """Chunks for manual review: shortest, longest, hash-ranked and reference-titled ones, with all reasons."""
-    c = "(select distinct chunk_id, text, section_title, parent_document_id from @text_chunks where text is not null)"
-    g = [f"(select chunk_id, 'shortest' as g from {c} x order by length(text), chunk_id limit 20)", f"(select chunk_id, 'longest' as g from {c} x order by length(text) desc, chunk_id limit 20)",
-         f"(select chunk_id, 'random' as g from {c} x order by {rank_key(d, 'chunk_id')}, chunk_id limit 20)",
-         f"(select chunk_id, 'distinct_parent' as g from (select chunk_id, parent_document_id, row_number() over (partition by parent_document_id order by chunk_id) as r from {c} x) y where r = 1 order by parent_document_id, chunk_id limit 20)"]
-    return f"select chunk_id, {d.join(d.collect('g'), ',')} as reasons from ({' union all '.join('select * from ' + x + ' s' + str(i) for i, x in enumerate(g))}) u group by chunk_id"
+def h8(d, k=20, near=1400):
+    """Chunks for manual review, with all reasons: hash-ranked, shortest, longest, nearest to the size limit, evenly spread, of different parents, and by hash those with warnings, of reference sections and with suspicious characters."""
+    from .text_queries import REFERENCE_TITLES, suspicion
+    c = f"(select distinct chunk_id, text, section_title, parent_document_id, boundary_end_type, {rank_key(d, 'chunk_id')} as hk from @text_chunks where text is not null)"
+    refs = "(" + ", ".join(f"'{x}'" for x in REFERENCE_TITLES) + ")"
+    first = f"(select chunk_id, parent_document_id, row_number() over (partition by parent_document_id order by chunk_id) as r from {c} x)"
+    kinds = {
+        "random": (c, "true", "hk"), "shortest": (c, "true", "length(text)"), "longest": (c, "true", "-length(text)"), "near_maximum": (c, f"length(text) <= {near}", "-length(text)"),
+        "distinct_parent": (first, "r = 1", "parent_document_id"), "warning": (c, "boundary_end_type like '%fallback'", "hk"), "reference": (c, f"lower(trim(section_title)) in {refs}", "hk"), "suspicious": (c, f"{suspicion(d, 'text')} > 0", "hk"),
+    }
+    g = [f"select * from (select chunk_id, '{n}' as g from {rel} x where {cond} order by {by}, chunk_id limit {k}) s_{n}" for n, (rel, cond, by) in kinds.items()]
+    even = f"select chunk_id, 'even' as g from (select chunk_id, row_number() over (partition by substr(hk, 1, 1) order by chunk_id) as r, count(*) over (partition by substr(hk, 1, 1)) as n from {c} x) e where r = 1 or r = n"
+    return f"select chunk_id, {d.join(d.collect('g'), ',')} as reasons from ({' union all '.join([*g, even])}) u group by chunk_id"
 
 
 @relational("h9_category_cover")
@@ -118,15 +124,20 @@ def h11(d):
 
 
 @relational("h12_token_budget")
-def h12(d):
-    """Each source's documents until their words pass ten thousand; the first that would ends the source."""
-    return f"""with x as (select source, doc_id, {d.size(words(d, 'text'))} as n from @documents), y as (select *, sum(n) over (partition by source order by doc_id rows between unbounded preceding and current row) as total from x),
-      z as (select *, max(case when total > 10000 then 1 else 0 end) over (partition by source order by doc_id rows between unbounded preceding and current row) as over_ from y) select source, doc_id, {d.int('total')} as running_words from z where over_ = 0"""
+def h12(d, parents=400, chunks=900, tokens=60_000):
+    """Chunks of each source, parent by parent, until one would pass the budget of parents, chunks or tokens; it ends the source. Sums are taken per parent first, so only a row for each parent is put in order."""
+    n = d.size("token_ids")
+    return f"""with c as (select source_id, document_id, chunk_id, chunk_index, {n} as n from {CH} x where token_ids is not null and source_id is not null and document_id is not null), p as (select source_id, document_id, sum(n) as t, count(*) as c from c group by 1, 2),
+      q as (select *, row_number() over (partition by source_id order by document_id) as pr, sum(t) over (partition by source_id order by document_id rows between unbounded preceding and current row) - t as t0, sum(c) over (partition by source_id order by document_id rows between unbounded preceding and current row) - c as c0 from p),
+      y as (select c.source_id, c.document_id, c.chunk_id, q.pr, q.t0 + sum(c.n) over (partition by c.source_id, c.document_id order by c.chunk_index, c.chunk_id rows between unbounded preceding and current row) as total, q.c0 + row_number() over (partition by c.source_id, c.document_id order by c.chunk_index, c.chunk_id) as k from c join q on c.source_id = q.source_id and c.document_id = q.document_id),
+      stop as (select source_id, min(k) as first_over from y where pr > {parents} or k > {chunks} or total > {tokens} group by 1)
+      select y.source_id, y.chunk_id, {d.int('y.total')} as running_tokens from y left join stop on y.source_id = stop.source_id where stop.first_over is null or y.k < stop.first_over"""
 
 
 @relational("h13_gate_selection")
-def h13(d):
-    return f"select example_id from {EX} x where capability = 'reasoning' order by {rank_key(d, 'example_id')}, example_id limit 12"
+def h13(d, k=12):
+    """The examples of each capability with the lowest hashes of seed and id."""
+    return f"select capability, example_id from (select capability, example_id, row_number() over (partition by capability order by {rank_key(d, 'example_id')}, example_id) as r from {EX} x) y where r <= {k}"
 
 
 @relational("h14_epoch_order")
@@ -299,7 +310,7 @@ def j3(d):
 @relational("j4_dialogue_turns")
 def j4(d):
     """Dialogues of the documents: their turns, and whether roles alternate from user to assistant."""
-    src = "select doc_id, text from @documents where source in ('chat_multi_turn', 'instr_short')"
+    src = "select doc_id, text from @documents where text like '%User:%' or text like '%Assistant:%'"
     pos = f"select doc_id, posexplode(split(text, '\\n')) as (p, l) from ({src})" if d.spark else f"select doc_id, unnest(range(len(string_split(text, chr(10))))) as p, unnest(string_split(text, chr(10))) as l from ({src.replace('@', '')})"
     return f"""with x as ({pos}), t as (select doc_id, p, case when l like 'User:%' then 'user' when l like 'Assistant:%' then 'assistant' end as role from x),
       y as (select doc_id, role, row_number() over (partition by doc_id order by p) as r, count(*) over (partition by doc_id) as n from t where role is not null)

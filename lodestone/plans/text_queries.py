@@ -421,12 +421,24 @@ def e8(d):
 
 
 @relational("e11_length_audit")
-def e11(d):
-    """Word lengths of each source: smallest, largest, mean and floor-index percentiles."""
+def e11(d, limit=400, k=10):
+    """Word lengths of each source: smallest, largest, mean, floor-index percentiles, how many pass the limit, and the longest ten. Ranks are taken over the counts of each length, so no source is sorted whole."""
     n = d.size(words(d, "text"))
-    pick = lambda q: f"max(case when r = least(c, {d.int(f'floor((c - 1) * {q})')} + 1) then n end)"
-    return f"""with x as (select source, doc_id, {n} as n from @documents), y as (select *, row_number() over (partition by source order by n, doc_id) as r, count(*) over (partition by source) as c from x)
-      select source, min(n) as smallest, max(n) as largest, round(avg(n), 6) as mean, {pick(0.5)} as p50, {pick(0.95)} as p95, {pick(0.99)} as p99 from y group by source"""
+    pick = lambda q: f"min(case when upto >= {d.int(f'floor((c - 1) * {q})')} + 1 then n end)"
+    return f"""with x as (select source, doc_id, {n} as n from @documents where text is not null), h as (select source, n, count(*) as m from x group by 1, 2), y as (select source, n, m, sum(m) over (partition by source order by n) as upto, sum(m) over (partition by source) as c from h),
+      s as (select source, min(n) as smallest, max(n) as largest, round(sum(n * m) / cast(sum(m) as double), 6) as mean, {pick(0.5)} as p50, {pick(0.95)} as p95, {pick(0.99)} as p99, cast(sum(case when n > {limit} then m else 0 end) as bigint) as truncated from y group by 1),
+      top as (select source, {d.join(d.collect("lpad(cast(999999 - n as varchar(8)), 6, '0') || ':' || cast(doc_id as varchar(20))"), ',')} as longest from (select source, n, doc_id, row_number() over (partition by source order by n desc, doc_id) as r from (select x.* from x join (select source, min(n) as least from (select source, n, sum(m) over (partition by source order by n desc) - m as above from h) g where above < {k} group by 1) l on x.source = l.source and x.n >= l.least) z) w where r <= {k} group by 1)
+      select s.*, top.longest from s join top on s.source = top.source"""
+
+
+@relational("d11_review_prechecks")
+def d11(d):
+    """Checks that block a chunk's review: gate, empty or repeated text, repeated previews, missing parent, sizes that don't agree, boundaries that parted a word."""
+    gate_ = final_gate(d)
+    checks = d.struct_list("case when g.reason is not null then 'gate_' || g.reason end", "case when x.parent_document_id is null then 'missing_parent' end", "case when x.copies > 1 then 'repeated_text' end", "case when x.previews > 1 and x.copies = 1 then 'repeated_preview' end",
+                           "case when x.overlap_characters > length(x.text) then 'overlap_beyond_text' end", "case when x.token_count is null or x.token_count <= 0 then 'no_token_count' end", f"case when {d.like('x.text', '^[a-z]')} and x.boundary_start_type = 'paragraph' then 'starts_within_sentence' end")
+    return f"""with {gate_}, x as (select y.*, count(*) over (partition by {d.sha('text')}) as copies, count(*) over (partition by substr(text, 1, 120), right(text, 120)) as previews from (select chunk_id, min(parent_document_id) as parent_document_id, max(text) as text, min(token_count) as token_count, min(overlap_characters) as overlap_characters, min(boundary_start_type) as boundary_start_type from @text_chunks where text is not null group by 1) y),
+      z as (select x.chunk_id, {d.explode(d.keep(checks, 'k', 'k is not null'))} as check_name from x join g on x.chunk_id = g.chunk_id) select check_name, count(*) as n, min(chunk_id) as first_chunk from z group by 1"""
 
 
 @relational("n1_match_hash")
