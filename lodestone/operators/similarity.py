@@ -14,6 +14,7 @@ from ..session import drop_stage, staged
 
 # Start of the second checksum, and step of the padding.
 SECOND, PAD = 0x9E3779B9, 0x9E3779B97F4A7C15
+#: Up to so many bytes the second checksum's difference is looked up; beyond, it is computed from the length.
 LONGEST = 8192
 _WS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -51,12 +52,37 @@ def _lengths() -> Column:
     return F.lit(np.array([zlib.crc32(zero[:n], SECOND) ^ zlib.crc32(zero[:n]) for n in range(LONGEST)], np.int64))
 
 
+def _advanced(n: Column) -> Column:
+    """What the checksums differ by after n bytes: the start's bits carried through n zero bytes, by powers of two of the step's matrix."""
+    # The difference is linear in the starting value: 32 columns for each power of two of bytes.
+    columns = []
+    one = [zlib.crc32(b"\0", 1 << i) ^ zlib.crc32(b"\0", 0) for i in range(32)]
+    for _ in range(31):
+        columns.append(one)
+        apply = lambda m, v: _xor(m[i] for i in range(32) if v >> i & 1)
+        one = [apply(one, one[i]) for i in range(32)]
+    powers = F.lit(np.array(columns, np.int64).reshape(-1))
+
+    def step(v: Column, k: Column) -> Column:
+        bits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(F.call_function("shiftright", v, i).bitwiseAND(F.lit(1).cast("long")) == 1, F.get(powers, k * 32 + i)).otherwise(F.lit(0).cast("long")))
+        moved = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.call_function("shiftright", n, k).bitwiseAND(F.lit(1)) == 1, moved).otherwise(v)
+
+    return F.when(n >= LONGEST, F.aggregate(F.sequence(F.lit(0), F.lit(30)), F.lit(SECOND).cast("long"), step)).otherwise(F.lit(0).cast("long"))
+
+
+def _xor(values) -> int:
+    out = 0
+    for v in values:
+        out ^= v
+    return out
+
+
 def signature(c: Column, k: int = 5, size: int = 64) -> Column:
     """Bottom-``size`` MinHash signature of a text's shingles, as signed 64-bit numbers in unsigned order.
 
     At most 4 * size shingles at even steps of their order are hashed. A short
-    signature is padded by a rule. A text without words has all bits set. A
-    shingle of LONGEST bytes or more takes part with the first checksum only.
+    signature is padded by a rule. A text without words has all bits set.
     """
     most, table = 4 * size, _lengths()
     pads = F.lit(np.array([_signed(i * PAD) for i in range(1, size + 1)], np.int64))
@@ -64,7 +90,10 @@ def signature(c: Column, k: int = 5, size: int = 64) -> Column:
 
     def value(s: Column) -> Column:
         crc = F.crc32(F.encode(s, "UTF-8"))
-        other = F.coalesce(F.get(table, F.octet_length(s)), F.lit(0)).cast("long")
+        # A longer run of zeros is checked as such: the difference depends on the length alone.
+        zeros = F.octet_length(s)
+        far = _advanced(zeros)
+        other = F.coalesce(F.get(table, zeros), far).cast("long")
         return F.shiftleft(crc, 32).bitwiseOR(crc.bitwiseXOR(other)).bitwiseXOR(flip)
 
     def even(o: Column) -> Column:
@@ -110,13 +139,15 @@ def similar_pairs(df: DataFrame, key: str, items: str, t: float) -> DataFrame:
     rows = rows.groupBy("id").agg(F.min("s").alias("s"))
     rows = staged(rows.withColumn("set", F.sha2(F.array_join("s", "\x00"), 256)), "sets")
     sets = rows.groupBy("set").agg(F.first("s").alias("s"))
-    tokens = sets.select("set", F.size("s").alias("n"), F.explode("s").alias("token"))
+    # Only hashes of items are moved; the sets themselves are compared at the end.
+    tokens = sets.select("set", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("token"))
     df_ = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = tokens.join(df_, "token").withColumn("pos", F.row_number().over(Window.partitionBy("set").orderBy("df", "token")))
     prefix = ranked.filter(F.col("pos") <= F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1).select("set", "n", "token", "pos")
     a, b = prefix.alias("a"), prefix.alias("b")
     need = F.lit(t / (1 + t)) * (F.col("a.n") + F.col("b.n")) - 1e-6
-    room = F.least("a.pos", "b.pos") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    # At the first item that both have, none before it is shared.
+    room = F.lit(1) + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.set") < F.col("b.set")) & (F.col("a.n") >= t * F.col("b.n") - 1e-6) & (F.col("b.n") >= t * F.col("a.n") - 1e-6) & (room >= need)
     cand = a.join(b, on).select(F.col("a.set").alias("x"), F.col("b.set").alias("y")).distinct()
     both = cand.join(sets.select(F.col("set").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("set").alias("y"), F.col("s").alias("sy")), "y")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,14 +80,48 @@ def f5(d):
       select origin, case when r = 1 then 'first' when first_origin = origin then 'repeats_own' else 'repeats_other' end as state, count(*) as n from y group by 1, 2"""
 
 
-@query("f6_signatures")
+def signature_sql(table="documents", key="doc_id", text="text", size=64):
+    """CTEs (sg: id, signature, sha256, has_text) of the signature in plain SQL: both checksums byte by byte, sampling, padding."""
+    most = 4 * size
+    crc = lambda start: f"xor(list_reduce(bytes, lambda c, b: xor(c >> 8, tab[cast(xor(c, b) & 255 as int) + 1]), cast({start} as ubigint)), cast(4294967295 as ubigint))"
+    signed = lambda v: f"cast(case when {v} >= 9223372036854775808 then cast({v} as hugeint) - 18446744073709551616 else cast({v} as hugeint) end as bigint)"
+    return f"""tb as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, cast(3988292384 as ubigint)) else c >> 1 end, cast(n as ubigint))) as tab),
+      tx as (select {key} as id, max({text}) as t from {table} where {text} is not null group by 1), so as (select id, t, list_sort({shingle_list(_D, 't')}) as o from tx),
+      sp as (select id, t, case when len(o) > {most} then list_transform(range({most}), lambda i: o[cast(i * (len(o) - 1) // {most - 1} as int) + 1]) else o end as p from so),
+      ex as (select distinct unnest(p) as s from sp), hx as (select s, hex(encode(s)) as h from ex), by_ as (select s, list_transform(range(0, len(h) // 2), lambda i: cast('0x' || h[cast(2 * i + 1 as int):cast(2 * i + 2 as int)] as ubigint)) as bytes from hx),
+      v as (select s, ({crc(4294967295)} << 32) | {crc(0x9E3779B9 ^ 0xFFFFFFFF)} as v from by_ cross join tb),
+      e as (select distinct id, v from (select id, unnest(p) as s from sp) q join v on q.s = v.s), r as (select id, v, row_number() over (partition by id order by v) as r from e), l as (select id, list(v order by v) as low from r where r <= {size} group by 1),
+      pd as (select sp.id, sp.t, l.low, list_reduce(l.low, lambda a, b: xor(a, b)) as seed from sp left join l on sp.id = l.id),
+      un as (select id, t, case when low is null then list_transform(range({size}), lambda i: cast(18446744073709551615 as ubigint)) when len(low) >= {size} then low else list_concat(low, list_transform(range(len(low) + 1, {size} + 1), lambda i: xor(seed, cast(cast(i as hugeint) * 11400714819323198485 % 18446744073709551616 as ubigint)))) end as u from pd),
+      sg as (select id, u, list_transform(u, lambda x: {signed('x')}) as signature, sha256({norm(_D, 't')}) as sha256 from un)"""
+
+
+def keys_sql(bands=8):
+    """The band keys of u: the values of each remainder, hashed."""
+    own = lambda b: f"list_filter(u, lambda x: x & {bands - 1} = {b})"
+    return "[" + ", ".join(f"'{b}:' || sha256(unhex(array_to_string(list_transform({own(b)}, lambda x: lpad(hex(x), 16, '0')), '')))" for b in range(bands)) + "]"
+
+
+_EMPTY = "right(k, 64) <> sha256(unhex(''))"
+# One row for each text: the smallest id of it.
+_INDEX = f"{signature_sql()}, ix as (select min(id) as document_id, sha256 as normalized_sha256, arg_min(signature, id) as signature, arg_min(u, id) as u from sg group by sha256)"
+
+
+@query("f6_signatures", f"with {signature_sql()} select id as doc_id, signature, {keys_sql()} as bucket_keys from sg")
 def f6(spark: SparkSession, sf: str) -> DataFrame:
     """MinHash signature and band keys of each document."""
     x = _docs(spark, sf).filter("text is not null").select("doc_id", sim.signature(F.col("text")).alias("signature"))
     return x.withColumn("bucket_keys", sim.band_keys(F.col("signature")))
 
 
-@query("f9_document_index")
+@query("f7_band_keys", f"with {signature_sql()}, k as (select id, unnest({keys_sql()}) as k from sg) select left(k, 1) as band, count(*) as n, count(distinct k) as different, cast(sum(case when {_EMPTY} then 0 else 1 end) as bigint) as empty from k group by 1")
+def f7(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of each band: how many, how many different, how many of no values."""
+    x = f6(spark, sf).select(F.explode("bucket_keys").alias("k"))
+    return x.groupBy(F.substring("k", 1, 1).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("different"), F.count_if(F.col("k").endswith(F.sha2(F.lit(b""), 256))).alias("empty"))
+
+
+@query("f9_document_index", f"with {_INDEX} select document_id, normalized_sha256, signature, {keys_sql()} as bucket_keys from ix")
 def f9(spark: SparkSession, sf: str) -> DataFrame:
     """The index of the documents: one row for each matched text."""
     return sim.document_index(_docs(spark, sf), "doc_id", "text", "doc_id").select("document_id", "normalized_sha256", "signature", "bucket_keys")
@@ -99,12 +135,27 @@ def f10(d):
       c as (select distinct c.chunk_id, {a} as h from @text_chunks c where c.text is not null) select c.chunk_id, i.doc_id from c join i on c.h = i.h"""
 
 
-@query("f11_bucket_candidates")
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """(a, b, sa, sb): index documents whose id is divisible by 20, and all others that share a key with them."""
+    x = staged(f9(spark, sf), "index").select("document_id", "signature", F.explode("bucket_keys").alias("k")).filter(~F.col("k").endswith(F.sha2(F.lit(b""), 256)))
+    a = x.filter("document_id % 20 = 0").select(F.col("document_id").alias("a"), F.col("signature").alias("sa"), "k")
+    b = x.select(F.col("document_id").alias("b"), F.col("signature").alias("sb"), "k")
+    return a.join(b, "k").filter("a != b").dropDuplicates(["a", "b"])
+
+
+_CAND = f"{_INDEX}, k as (select document_id, signature, unnest({keys_sql()}) as k from ix), cd as (select distinct p.document_id as a, q.document_id as b, p.signature as sa, q.signature as sb from k p join k q on p.k = q.k where {_EMPTY.replace('right(k', 'right(p.k')} and p.document_id % 20 = 0 and p.document_id <> q.document_id)"
+
+
+@query("f11_bucket_candidates", f"with {_CAND} select a, b from cd")
 def f11(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of documents that share a band key."""
-    x = staged(f9(spark, sf).select("document_id", "bucket_keys"), "index").select("document_id", F.explode("bucket_keys").alias("k")).filter(~F.col("k").endswith(F.sha2(F.lit(b""), 256)))
-    a, b = x.select(F.col("document_id").alias("a"), "k"), x.select(F.col("document_id").alias("b"), "k")
-    return a.join(b, "k").filter("a < b").select("a", "b").distinct()
+    """Candidates of every twentieth document of the index: those that share a band key."""
+    return _candidates(spark, sf).select("a", "b")
+
+
+@query("f8_signature_similarity", f"with {_CAND} select a, b, round(len(list_intersect(list_distinct(sa), list_distinct(sb))) / 64.0, 6) as similarity from cd")
+def f8(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidates' signature similarity."""
+    return _candidates(spark, sf).select("a", "b", F.round(sim.signature_similarity(F.col("sa"), F.col("sb")), 6).alias("similarity"))
 
 
 def _matched(spark, sf):
@@ -112,13 +163,25 @@ def _matched(spark, sf):
     return sim.matches(idx, spark.read.parquet(f"{sf}/retrieved_source_records.parquet"), "record_id", "text")
 
 
-@query("f13_match_decisions")
+_RECS = signature_sql("retrieved_source_records", "record_id", "text").replace("tb as", "tb2 as").replace("cross join tb)", "cross join tb2)")
+for _n in ("tx", "so", "sp", "ex", "hx", "by_", "v", "e", "r", "l", "pd", "un", "sg"):
+    _RECS = re.sub(rf"\b{_n} as \(", f"r_{_n} as (", _RECS)
+    _RECS = re.sub(rf"\b(from|join) {_n}\b", rf"\1 r_{_n} {_n}", _RECS)
+_MATCH = f"""with {_INDEX}, ik as (select document_id, signature, unnest({keys_sql()}) as k from ix), {_RECS},
+  ex_ as (select r.id, min(ix.document_id) as document_id from r_sg r join ix on r.sha256 = ix.normalized_sha256 group by 1), rk as (select id, signature, unnest({keys_sql()}) as k from r_sg where id not in (select id from ex_)),
+  cd as (select distinct rk.id, ik.document_id, rk.signature as sa, ik.signature as sb from rk join ik on rk.k = ik.k where {_EMPTY.replace('right(k', 'right(rk.k')}), sm as (select id, document_id, len(list_intersect(list_distinct(sa), list_distinct(sb))) / 64.0e0 as similarity from cd),
+  bs as (select id, document_id, similarity, row_number() over (partition by id order by similarity desc, document_id) as r from sm where similarity >= 0.75),
+  res as (select id, 'exact' as match_type, 'reject' as decision, document_id, 1.0e0 as similarity from ex_ union all select id, case when similarity >= 0.9 then 'near' else 'ambiguous' end, case when similarity >= 0.9 then 'reject' else 'review' end, document_id, similarity from bs where r = 1
+    union all select id, null, 'keep', null, null from r_sg where id not in (select id from ex_) and id not in (select id from bs))"""
+
+
+@query("f13_match_decisions", _MATCH + " select id as record_id, match_type, decision, document_id, similarity from res")
 def f13(spark: SparkSession, sf: str) -> DataFrame:
     """Whether each record is kept, rejected or reviewed against the documents' index."""
     return _matched(spark, sf).withColumnRenamed("id", "record_id")
 
 
-@query("f14_overlap_report")
+@query("f14_overlap_report", _MATCH + " select coalesce(match_type, 'none') as match_type, decision, count(*) as n from res group by 1, 2")
 def f14(spark: SparkSession, sf: str) -> DataFrame:
     """Records by kind of match and decision."""
     return _matched(spark, sf).groupBy(F.coalesce("match_type", F.lit("none")).alias("match_type"), "decision").agg(F.count(F.lit(1)).alias("n"))
@@ -164,9 +227,37 @@ def f16(spark: SparkSession, sf: str) -> DataFrame:
 
 @relational("f17_cross_set_duplicates")
 def f17(d):
-    """Groups of equal instructions that stand both in advice and in other capabilities."""
-    return f"""with x as (select distinct example_id, capability = 'advice' as own, {d.sha(f"lower({ws(d, 'instruction')})")} as h from @instruction_examples where instruction is not null)
-      select h as sha256, {d.int('sum(case when own then 1 else 0 end)')} as own, {d.int('sum(case when own then 0 else 1 end)')} as others from x group by 1 having sum(case when own then 1 else 0 end) > 0 and sum(case when own then 0 else 1 end) > 0"""
+    """Groups of equal instructions of which, for some capability, a part is of that capability and a part of others."""
+    return f"""with x as (select distinct example_id, coalesce(capability, '') as capability, {d.sha(f"lower({ws(d, 'instruction')})")} as h from @instruction_examples where instruction is not null), g as (select h, count(*) as n from x group by 1),
+      c as (select h, capability, count(*) as own from x group by 1, 2) select c.h as sha256, c.capability, c.own, g.n - c.own as others from c join g on c.h = g.h where g.n > c.own"""
+
+
+@relational("f5_ingest_counters")
+def f5_counters(d):
+    """Counters of an ingest by origin and source: rows, items, invalid and missing fingerprints, retained, repeats within the origin and of another origin."""
+    ok = d.like("coalesce(fp, '')", "^[0-9a-f]{64}$")
+    return f"""with x as (select item_id, min(lower(trim(fingerprint))) as fp, min(origin) as origin, min(coalesce(source_id, '')) as source_id, count(*) as deliveries from @fingerprints group by 1),
+      y as (select *, {ok} as ok, row_number() over (partition by fp order by case origin when 'original' then 0 else 1 end, item_id) as r, first_value(origin) over (partition by fp order by case origin when 'original' then 0 else 1 end, item_id) as o1 from x)
+      select origin, source_id, cast(sum(deliveries) as bigint) as n_rows, count(*) as items, {d.int('sum(case when not ok then 1 else 0 end)')} as invalid, {d.int('sum(case when ok and r = 1 then 1 else 0 end)')} as retained, {d.int('sum(case when ok and r > 1 and o1 = origin then 1 else 0 end)')} as repeats_own, {d.int('sum(case when ok and r > 1 and o1 <> origin then 1 else 0 end)')} as repeats_other from y group by 1, 2"""
+
+
+@relational("f19_index_coverage")
+def f19(d):
+    """Coverage of the indexes that a federation needs: sources with their checkpoints' state and hash, items that the index has, and whether each may be used."""
+    return f"""with p as (select source_id, max(complete) as complete, max(processed) as processed, count(distinct source_sha256) as hashes from @source_progress where source_id is not null group by 1),
+      f as (select lower(trim(source_id)) as source_id, count(distinct item_id) as items from @fingerprints where source_id is not null group by 1)
+      select coalesce(p.source_id, f.source_id) as source_id, coalesce(complete, 0) = 1 as complete, coalesce(hashes, 0) = 1 as one_hash, coalesce(items, 0) as items, p.source_id is not null and f.source_id is not null and complete = 1 and hashes = 1 as usable from p full outer join f on p.source_id = f.source_id"""
+
+
+@relational("f12_candidate_union")
+def f12_near(d):
+    """Candidates of every twentieth item from both indexes together, by shared five-word shingles (half of the item's or more): the best of each index, and how many both gave."""
+    sh = lambda x: shingle_list(d, x)
+    own = f"(select distinct item_id, item_text as t from @fingerprints where item_text is not null and item_id % 20 = 0)"
+    side = lambda name, key, rel: f"select '{name}' as index_name, cast({key} as varchar(30)) as id, {d.explode(sh('text'))} as s from {rel} where text is not null"
+    return f"""with q as (select item_id, {d.explode(sh('t'))} as s from {own} a), n as (select item_id, count(*) as n from q group by 1), i as ({side('documents', 'doc_id', '@documents')} union all {side('records', 'record_id', '(select distinct record_id, text from @retrieved_source_records) rr')}),
+      h as (select q.item_id, i.index_name, i.id, count(distinct q.s) as c from q join i on q.s = i.s group by 1, 2, 3), k as (select h.*, row_number() over (partition by h.item_id, index_name order by c desc, id) as r, count(*) over (partition by h.item_id) as candidates from h join n on h.item_id = n.item_id where 2 * c >= n)
+      select item_id, index_name, id, c as shared, candidates from k where r = 1"""
 
 
 @relational("f18_duplicate_outputs")
@@ -299,23 +390,52 @@ def g2(spark: SparkSession, sf: str) -> DataFrame:
     long = p.filter(F.size("y") >= 3).withColumn("mid", F.col("y")[1])
     piece = r.select("record_id", "t", F.explode(F.array_distinct("w")).alias("mid"))
     full = piece.join(long, "mid").filter(F.contains("t", "p")).select("record_id", "id").distinct()
-    tiny = p.filter(F.size("y") < 3).select("id", "p", F.col("y")[0].alias("a"), F.expr("size(y) = 1").alias("single"))
-    # Prompts of one or two pieces: their first piece ends a piece of the record, or stands in one.
-    near = piece.join(F.broadcast(tiny.limit(10_000)), F.contains(F.col("mid"), F.col("a"))).filter(F.contains("t", "p")).select("record_id", "id").distinct()
+    # Prompts of one or two pieces: their first four characters stand in one of the record's pieces.
+    tiny = p.filter(F.size("y") < 3).withColumn("gram", F.substring(F.col("y")[0], 1, 4)).withColumn("width", F.length("gram"))
+    widths = tiny.select("width").distinct()  # at most four rows
+    grams_ = piece.crossJoin(F.broadcast(widths)).filter(F.length("mid") >= F.col("width"))
+    grams_ = grams_.select("record_id", "t", F.explode(F.expr("array_distinct(transform(sequence(1, length(mid) - width + 1), i -> substr(mid, i, width)))")).alias("gram"))
+    near = grams_.join(tiny.select("id", "p", "gram"), "gram").filter(F.contains("t", "p")).select("record_id", "id").distinct()
     full = full.union(near).distinct()
     a = full.select("record_id", F.col("id").alias("prompt_id"), F.lit("full_prompt").alias("method"))
     b = frag.join(full, ["record_id", "id"], "left_anti").select("record_id", F.col("id").alias("prompt_id"), F.lit("distinctive_ngram").alias("method"))
     return a.union(b)
 
 
+_EXAMPLE_TEXTS = "(select distinct example_id, coalesce(instruction, '') || ' ' || coalesce(input, '') || ' ' || coalesce(response, '') as text from @instruction_examples)"
+
+
 @relational("g6_example_contamination")
 def g6(d):
-    """Examples whose instruction, input and response together hold an 8-word span of a prompt."""
-    g = lambda x: grams(d, d.split(ws(d, fold_(x)), " "), 8, " ")
-    t = "coalesce(instruction, '') || ' ' || coalesce(input, '') || ' ' || coalesce(response, '')"
-    return f"""with p as (select distinct {d.explode(g('prompt'))} as g from @prompts where prompt is not null),
-      e as (select distinct example_id, {d.explode(g(t))} as g from @instruction_examples)
-      select e.example_id, count(*) as spans from e join p on e.g = p.g group by 1"""
+    """Examples whose instruction, input and response together hold commitments of a prompt: exact where all of the prompt's are there, else fragments only."""
+    return f"with {commitment_hits(d, _EXAMPLE_TEXTS, 'example_id')}, t as (select id, count(distinct g) as total from cm group by 1) select hit.example_id, hit.id as prompt_id, count(distinct g) as commitments, count(distinct g) = max(t.total) as exact from hit join t on hit.id = t.id group by 1, 2"
+
+
+@relational("g5_merged_scan")
+def g5_merged(d):
+    """Records rejected by any finding: a prompt whole, an expected answer whole, an eight-word fragment, or a decision made elsewhere (records that prompts' hashed ordinals name); by method, and how many have several."""
+    ans = f"(select distinct id, {d.sha(norm(d, 'expected_behavior'))} as h from @prompts where expected_behavior is not null)"
+    ordinal = d.int("cast(substr(id, 4) as int)")
+    return f"""with {commitment_hits(d, _RECORDS, 'record_id')}, t as (select id, count(distinct g) as total from cm group by 1), p as (select hit.record_id, hit.id, count(distinct g) as c, max(t.total) as total from hit join t on hit.id = t.id group by 1, 2),
+      f as (select distinct record_id, case when c = total then 'prompt_exact' else 'eight_word_fragment' end as method from p union select distinct r.record_id, 'answer_exact' from {_RECORDS} r join {ans} a on {d.sha(norm(d, 'r.text'))} = a.h
+        union select distinct r.record_id, 'decision' from {_RECORDS} r join (select distinct {d.sha(f'cast({ordinal} as varchar(20))')} as h from @prompts where {d.like('id', '^pr_[0-9]+$')}) o on {d.sha('cast(r.record_id as varchar(20))')} = o.h),
+      n as (select record_id, count(*) as methods from f group by 1) select f.method, count(*) as records, {d.int('sum(case when n.methods > 1 then 1 else 0 end)')} as with_others from f join n on f.record_id = n.record_id group by 1"""
+
+
+@relational("g10_commitments")
+def g10(d):
+    """Commitments of the prompts and of their expected answers, as hashes only: the whole text with its number of words, and all eight-word spans."""
+    w = lambda x: d.split(ws(d, fold_(x)), " ")
+    src = "(select distinct id, prompt as text, 'prompt' as part from @prompts where prompt is not null union select distinct id, expected_behavior, 'answer' from @prompts where expected_behavior is not null)"
+    return f"""with x as (select id, part, {w('text')} as w from {src} s) select id, part, 'exact' as kind, {d.size('w')} as words, {d.sha(d.join('w', ' '))} as sha256 from x
+      union all select distinct id, part, 'ngram', cast(8 as bigint), {d.sha('g')} from (select id, part, {d.explode(grams(d, 'w', 8, ' '))} as g from x) y"""
+
+
+@relational("g11_forbidden_fragments")
+def g11(d):
+    """Documents that contain a forbidden fragment (the prompts' required keywords, a list of fixed size), with the number of different ones."""
+    frag = f"(select {d.collect('k')} as ks from (select distinct {d.explode('checks.required_keywords')} as k from @prompts where checks.required_keywords is not null) a)"
+    return f"with f as {frag}, x as (select doc_id, lower(text) as t, ks from @documents cross join f where text is not null) select doc_id, {d.size(d.keep('ks', 'k', d.contains('t', 'lower(k)')))} as fragments from x where {d.size(d.keep('ks', 'k', d.contains('t', 'lower(k)')))} > 0"
 
 
 @relational("g7_exclusions")
@@ -344,25 +464,25 @@ def g9(d):
 
 @relational("g12_commitment_check")
 def g12(d):
-    """Prompts whose recomputed hash isn't that of the other row of the same text."""
-    h = d.sha(norm(d, "prompt"))
-    return f"with x as (select id, {h} as a from @prompts), y as (select id, {d.sha(norm(d, 'trim(prompt)'))} as b from @prompts) select coalesce(x.id, y.id) as id, coalesce(a = b, false) as consistent from x full outer join y on x.id = y.id"
+    """Stored commitments (the items' fingerprints) against their payload: ids that only one side has, and recomputed hashes that differ."""
+    return f"""with c as (select item_id, min(lower(trim(fingerprint))) as h from @fingerprints where fingerprint is not null group by 1), p as (select item_id, {d.sha("min(" + d.sub('item_text', r'^\s+|\s+$', '') + ")")} as h from @fingerprints where item_text is not null group by 1)
+      select case when c.h is null then 'no_commitment' when p.h is null then 'no_payload' when c.h = p.h then 'consistent' when not {d.like('c.h', '^[0-9a-f]{64}$')} then 'malformed' else 'different' end as state, count(*) as n from c full outer join p on c.item_id = p.item_id group by 1"""
 
 
 def _report(d, hits):
-    # The filter stays above the window: pushed below, it would repeat the gate's work in its condition.
-    first = f"row_number() over (partition by case when reason is null then {d.sha(norm(d, 'text'))} else cast(doc_id as varchar(20)) end order by doc_id)"
-    return f"""{gate(d)}, b as (select doc_id, source, text, reason, {first} as r from gated), a as (select doc_id, source, text, r from b where reason is null),
+    # Only ids and hashes are ranked; texts stay in the two scans.
+    first = "row_number() over (partition by case when reason is null then sha else cast(doc_id as varchar(20)) end order by doc_id)"
+    return f"""{gate(d)}, n as (select doc_id, source, reason, {d.sha(norm(d, 'text'))} as sha from gated), b as (select doc_id, source, reason, {first} as r from n), a as (select doc_id, source, r from b where reason is null),
       {hits}
       select x.source, count(*) as n_docs, count(a.doc_id) as accepted, {d.int('sum(case when a.r = 1 then 1 else 0 end)')} as first_of_text, {d.int('sum(case when a.r = 1 and hit.doc_id is null then 1 else 0 end)')} as clean
-      from @documents x left join a on x.doc_id = a.doc_id left join hit on x.doc_id = hit.doc_id group by 1"""
+      from b x left join a on x.doc_id = a.doc_id left join hit on x.doc_id = hit.doc_id group by 1"""
 
 
 def flagship(d):
     """Per source: documents, accepted, first of their text, and free of 8-word prompt spans. Shorter prompts: flagship_commitment_report."""
     g = lambda x: grams(d, d.split(ws(d, fold_(x)), " "), 8, " ")
     return _report(d, f"""p as (select distinct {d.explode(g('prompt'))} as g from @prompts where prompt is not null),
-      e as (select doc_id, {d.explode(g('text'))} as g from a where r = 1), hit as (select distinct e.doc_id from e join p on e.g = p.g)""")
+      e as (select doc_id, {d.explode(g('text'))} as g from @documents where text is not null), hit as (select distinct e.doc_id from e join p on e.g = p.g)""")
 
 
 relational("flagship_corpus_report")(flagship)
@@ -371,4 +491,4 @@ relational("flagship_corpus_report")(flagship)
 @relational("flagship_commitment_report")
 def flagship_whole(d):
     """Per source: documents, accepted, first of their text, and free of prompts' commitments of every width."""
-    return _report(d, commitment_hits(d, "(select doc_id, text from a where r = 1)", "doc_id", ""))
+    return _report(d, commitment_hits(d, "(select doc_id, text from @documents where text is not null)", "doc_id", ""))

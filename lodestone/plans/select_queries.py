@@ -124,7 +124,7 @@ def h11(d):
 
 
 @relational("h12_token_budget")
-def h12(d, parents=400, chunks=900, tokens=60_000):
+def h12(d, parents=10, chunks=40, tokens=1500):
     """Chunks of each source, parent by parent, until one would pass the budget of parents, chunks or tokens; it ends the source. Sums are taken per parent first, so only a row for each parent is put in order."""
     n = d.size("token_ids")
     return f"""with c as (select source_id, document_id, chunk_id, chunk_index, {n} as n from {CH} x where token_ids is not null and source_id is not null and document_id is not null), p as (select source_id, document_id, sum(n) as t, count(*) as c from c group by 1, 2),

@@ -83,17 +83,17 @@ def gate(d):
     start = f"lower(substr(ltrim(text), 1, 200))"
     marks = " + ".join(f"(length(lower(t)) - length(replace(lower(t), '{m}', ''))) / {len(m)}" for m in BOILERPLATE)
     return f"""with x as (select doc_id, source, lang, title, text, {cleaned(d, "coalesce(text, '')")} as t from @documents),
-      gated as (select doc_id, source, text, t, case
+      xq as (select *, {quality_reason(d, 't')} as q from x), gated as (select doc_id, source, text, t, case
         when text is null or trim(text) = '' then 'empty_text'
         when title is null or trim(title) = '' then 'missing_identity'
         when lang is not null and lower(lang) not in ('en', 'english') then 'non_english'
         when {start} like '#redirect%' or {start} like 'redirect:%' then 'redirect'
         when lower(trim(title)) like '%(disambiguation)' or {d.contains(start, "'may refer to:'")} or {d.contains(start, "'can refer to:'")} then 'disambiguation'
-        when ({quality_reason(d, 't')}) is not null then {quality_reason(d, 't')}
+        when {d.like("coalesce(text, '')", r'[\x{FFFE}\x{FFFF}]')} then 'malformed_unicode' when q is not null then q
         when length(t) < 200 then 'too_short' when length(t) > 100000 then 'too_long'
         when not {d.like('t', r'[\p{L}]')} then 'no_alphabetic_text'
         when {d.size(d.split('t', chr(10)))} >= 6 and {repeated_lines(d, 't')} > 0.5 then 'repeated_low_information_lines'
-        when {marks} >= 3 then 'excessive_boilerplate' end as reason from x)"""
+        when {marks} >= 3 then 'excessive_boilerplate' end as reason from xq)"""
 
 
 @relational("c9_document_filter")
@@ -282,7 +282,7 @@ def final_gate(d):
     short = "array_contains(array('token_fallback'), boundary_start_type)" if d.spark else "boundary_start_type = 'token_fallback'"
     return f"""{list_metrics(d, 'text_chunks', 'chunk_id')},
       c as (select chunk_id, max(text) as text, max(boundary_start_type) as b0, max(boundary_end_type) as b1 from @text_chunks where text is not null group by 1),
-      g as (select c.chunk_id, case when ({quality_reason(d, 'text')}) is not null then {quality_reason(d, 'text')}
+      cq as (select *, {quality_reason(d, 'text')} as q from c), g as (select c.chunk_id, case when q is not null then q
         when {d.size(words(d, 'text'))} < 32 then 'below_minimum_chunk_tokens' when {low_information(d, 'text')} then 'low_information'
         when {any_of(d, 'text', MISSING)} then 'missing_source_value' when {any_of(d, 'text', MALFORMED)} then 'malformed_source_text'
         when (nonempty_line_count >= 4 and list_like_line_ratio >= 0.8 and prose_sentence_count < greatest(2, ceil(nonempty_line_count * (1.0 - 0.8))))
@@ -290,7 +290,7 @@ def final_gate(d):
           or (list_block_count >= 2 and list_like_line_count >= 6 and prose_token_ratio < 0.65)
           or (nonempty_line_count >= 8 and list_like_line_ratio >= 0.6 and maximum_consecutive_list_like_lines >= 4 and prose_token_ratio < 0.6) then 'list_dominated'
         when coalesce(b0, '') = 'token_fallback' or coalesce(b1, '') = 'token_fallback' then 'token_fallback_boundary' end as reason
-        from c join m on c.chunk_id = m.chunk_id)"""
+        from cq c join m on c.chunk_id = m.chunk_id)"""
 
 
 @relational("d4_missing_values")
