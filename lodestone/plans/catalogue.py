@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import check_queries, dedup_queries, prepare_queries, record_queries, schedule_queries, score_queries, select_queries, source_queries, stat_queries, text_queries  # noqa: F401
+from . import check_queries, dedup_queries, prepare_queries, record_queries, schedule_queries, score_queries, select_queries, source_queries, stat_queries, stream_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 
