@@ -29,6 +29,15 @@ class WaveletTree:
             self.counts.append(np.concatenate([[0], np.cumsum(ones)]))
             self.zeros.append(len(s) - int(bits.sum()))
             s = np.concatenate([s[bits == 0], s[bits == 1]])
+        # Where each symbol's places begin in the last order.
+        self.begin = self._walk(np.arange(1 << self.levels), np.zeros(1 << self.levels, np.int64))
+
+    def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Places followed through the levels along the bits of their symbols."""
+        for i in range(self.levels):
+            ones = self._ones(i, at)
+            at = np.where((symbol >> (self.levels - 1 - i)) & 1, self.zeros[i] + ones, at - ones)
+        return at
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         word, bit = at >> 6, (at & 63).astype(np.uint64)
@@ -37,24 +46,17 @@ class WaveletTree:
 
     def step(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol at each place, and how often it stands before."""
-        lo, hi, symbol = np.zeros_like(at), at.copy(), np.zeros_like(at)
+        symbol = np.zeros_like(at)
         for i in range(self.levels):
-            one = (self.words[i][hi >> 6] >> (hi & 63).astype(np.uint64)) & np.uint64(1) == 1
-            a, b = self._ones(i, lo), self._ones(i, hi)
-            lo = np.where(one, self.zeros[i] + a, lo - a)
-            hi = np.where(one, self.zeros[i] + b, hi - b)
+            one = (self.words[i][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            ones = self._ones(i, at)
+            at = np.where(one, self.zeros[i] + ones, at - ones)
             symbol = symbol << 1 | one
-        return symbol, hi - lo
+        return symbol, at - self.begin[symbol]
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place."""
-        lo, hi = np.zeros_like(at), at.copy()
-        for i in range(self.levels):
-            one = ((symbol >> (self.levels - 1 - i)) & 1).astype(bool)
-            a, b = self._ones(i, lo), self._ones(i, hi)
-            lo = np.where(one, self.zeros[i] + a, lo - a)
-            hi = np.where(one, self.zeros[i] + b, hi - b)
-        return hi - lo
+        return self._walk(symbol, at) - self.begin[symbol]
 
 
 def suffix_array(values: np.ndarray) -> np.ndarray:
@@ -176,8 +178,7 @@ class FMIndex:
         out, live = [], np.flatnonzero(pos >= length)
         while len(live):
             c = flat[start[live] + pos[live]]
-            a = self.first[c] + self.tree.rank(c, lo[live])
-            b = self.first[c] + self.tree.rank(c, hi[live])
+            a, b = (self.first[c] + self.tree.rank(np.tile(c, 2), np.concatenate([lo[live], hi[live]])).reshape(2, -1))
             ok = (c > 0) & (a < b)
             up = live[ok]
             lo[up], hi[up], length[up] = a[ok], b[ok], length[up] + 1

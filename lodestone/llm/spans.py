@@ -172,8 +172,10 @@ def _streamed(index: FMIndex, held: np.ndarray, texts: list[np.ndarray], who: np
     # Runs of the same segments are looked at once.
     kinds: dict[bytes, int] = {}
     by = np.lexsort((text, of))
-    edge = np.flatnonzero(np.append(True, of[by][1:] != of[by][:-1])) if len(by) else by
-    members = [np.unique(x) for x in np.split(text[by], edge[1:])]
+    x, y = of[by], text[by]
+    once = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    x, y = x[once], y[once]
+    members = np.split(y, np.flatnonzero(x[1:] != x[:-1]) + 1)
     kind = np.array([kinds.setdefault(x.tobytes(), i) for i, x in enumerate(members)], np.int64)
     pairs = []
     for x, k in {(int(x), int(k)) for x, k in zip(t[two[run]], kind[run[two[run]]], strict=True)}:
