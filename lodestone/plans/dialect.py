@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import plain_unions
-from .registry import query
+from .registry import query, whole_trim
 
 # White space and word characters as Python's re takes them, in a form that both engines read alike.
 WS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -154,7 +154,7 @@ def spark_sql(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     for t in set(_TABLE.findall(sql)):
         made[t] = f"lodestone_{zlib.crc32(sf.encode()):08x}_{t}"
         spark.read.parquet(f"{sf}/{t}.parquet").createOrReplaceTempView(made[t])
-    return spark.sql(_TABLE.sub(lambda m: made[m.group(1)], sql))
+    return spark.sql(whole_trim(_TABLE.sub(lambda m: made[m.group(1)], sql), "btrim"))
 
 
 def relational(name: str) -> Callable:
