@@ -2,27 +2,11 @@
 
 from __future__ import annotations
 
-import base64
-import os
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where the tokenizer's ranks are; a parameter of every function that counts tokens.
-VOCABULARY = os.environ.get("LODESTONE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-# Fixed value: the public pattern by which that tokenizer cuts a text first.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("lodestone", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+from ..functions.tokenizer import VOCABULARY, encoder
 
 
 def counted(df: DataFrame, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
