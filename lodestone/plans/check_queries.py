@@ -55,6 +55,7 @@ def format_findings(d):
 
 def record_findings(d):
     """(code, condition) of the record rules, over the columns of the examples."""
+    # Fixed values below: the rules' patterns and limits.
     rep = d.let(d.keep(d.split(norm(d, "response"), " "), "z", "z <> ''"), "rw", f"case when {d.size('rw')} = 0 then 0.0 else 1.0 - cast({d.size(d.distinct('rw'))} as double) / {d.size('rw')} end")
     every = "coalesce(instruction, '') || chr(10) || coalesce(input, '') || chr(10) || coalesce(response, '')"
     facts = d.keep("facts", "f", "coalesce(f.verification_status, '') <> 'verified'")

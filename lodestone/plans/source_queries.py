@@ -73,23 +73,18 @@ def a6(spark: SparkSession, sf: str) -> DataFrame:
 @query("a7_index_files", "select distinct lower(h) as sha256 from (select fingerprint as h from fingerprints union all select text_sha256 from base_text_chunks union all select source_sha256 from source_progress) x where regexp_matches(h, '^[0-9a-fA-F]{64}$')")
 def a7(spark: SparkSession, sf: str) -> DataFrame:
     """Valid hashes of a text list, JSON lines and an SQLite file, as one list."""
-    import os
     import sqlite3
-    import tempfile
 
     at = _folder(spark, "hashes")
     _table(spark, sf, "fingerprints").select(F.coalesce("fingerprint", F.lit("")).alias("value")).write.text(f"{at}/text")
     _table(spark, sf, "base_text_chunks").select(F.col("text_sha256").alias("sha256")).write.json(f"{at}/json")
     few = [(r[0],) for r in _table(spark, sf, "source_progress").select("source_sha256").collect()]  # a table of fixed size
-    fd, made = tempfile.mkstemp(suffix=".sqlite")  # written here, then moved to the shared folder
-    os.close(fd)
-    c = sqlite3.connect(made)
+    c = sqlite3.connect(":memory:")
     c.execute("create table progress (line integer, source_sha256 text)")
     c.executemany("insert into progress values (1, ?)", few)
-    c.commit(), c.close()
-    with open(made, "rb") as f:
-        files.write_bytes(f"{at}/index.sqlite", f.read())
-    os.remove(made)
+    c.commit()
+    files.write_bytes(f"{at}/index.sqlite", c.serialize())
+    c.close()
     return files.hash_list(spark, [f"{at}/text"], [f"{at}/json"], [f"{at}/index.sqlite"])
 
 

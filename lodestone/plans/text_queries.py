@@ -308,6 +308,7 @@ def d6(d):
     return f"with {final_gate(d)} select chunk_id, coalesce(reason, 'kept') as reason from g"
 
 
+# Fixed value: words that lost the space before a number.
 _JOINED_WORD = rf"(?i)\b(?:{_MONTHS}|age|or|the|figure|hours?|minutes?|seconds?)\d+\b"
 # Families of defects that a pattern tells, with what is done about them.
 FAMILIES = (
@@ -322,6 +323,7 @@ FAMILIES = (
     ("repeated_punctuation_from_removed_markup", "reject", r",{2,}|;\s*,|\)\s*\.\s*;"),
     ("joined_date_or_function_word", "reject", _JOINED_WORD),
 )
+# Letters joined with digits, and units that may be.
 _MIXED = r"\b[A-Za-z]*[a-z]{2,}\d+\b"
 _EXPONENT = r"(?i)^(?:cm|mm|km|ft|yd|in|mi|sp|mc|dw|sdh)\d+$"
 

@@ -103,7 +103,10 @@ def hash_list(spark: SparkSession, text: list[str] = (), jsonl: list[str] = (),
             for b in batches:
                 out = []
                 for path in b.column(0).to_pylist():
-                    c = sqlite3.connect(f"file:{_file_system(path)[1]}?mode=ro", uri=True)
+                    fs, at = _file_system(path)
+                    c = sqlite3.connect(":memory:")
+                    with fs.open_input_stream(at) as f:
+                        c.deserialize(f.read())
                     for (table,) in c.execute("select name from sqlite_master where type = 'table'").fetchall():
                         for column in [r[1] for r in c.execute(f'pragma table_info("{table}")')]:
                             one = c.execute(f'select "{column}" from "{table}" where "{column}" is not null limit 1').fetchone()
