@@ -144,10 +144,11 @@ class PivotTable:
         x = nodes.join(several("fp"), "fp", "left").join(several("set_key"), "set_key", "left").join(linked, "set_key", "left").filter("by_fp or by_set_key or by_near")
         state = staged(x.select("item_id", _order().alias("ord"), "fp", "set_key", F.lit(None).cast("boolean").alias("kept")), "state")
         while state.filter("kept is null").limit(LAST + 1).count() > LAST:
-            after = staged(_settle(state, links), "state")
-            drop_stage(state)
-            state = after
-        # What is open now waits for nothing but other open items.
+            # Items that repeat one accepted in the round are rejected with it: what is open then waits for nothing but other open items.
+            for accept in (True, False):
+                after = staged(_settle(state, links, accept), "state")
+                drop_stage(state)
+                state = after
         last = _in_order(state.filter("kept is null").drop("kept"), links)
         state = state.filter("kept is not null").select("item_id", "ord", "fp", "set_key", "kept").unionByName(state.drop("kept").join(last, "item_id"))
         state = staged(state, "settled")
@@ -159,8 +160,8 @@ class PivotTable:
         return bad.select(F.least("a", "b", "c")["item_id"].alias("item_id"), F.col("item_id").alias("dup_item_id"), F.col("ord.batch_no").alias("batch_no"))
 
 
-def _settle(state: DataFrame, links: DataFrame) -> DataFrame:
-    """One round: accept items that no open item precedes in their groups, reject those that an accepted one precedes.
+def _settle(state: DataFrame, links: DataFrame, accept: bool = True) -> DataFrame:
+    """One round: accept items that no open item precedes in their groups (unless accept is false), reject those that an accepted one precedes.
 
     Of each group of equal fingerprints or equal sets only the first item that
     isn't rejected matters, as no other one of it can be accepted.
@@ -173,7 +174,7 @@ def _settle(state: DataFrame, links: DataFrame) -> DataFrame:
     around = links.join(by_set.withColumnRenamed("set_key", "key_r"), "key_r").groupBy(F.col("key_l").alias("set_key")).agg(F.min(good).alias("g3"), F.min(open_).alias("o3"))
     x = state.join(by_fp, "fp", "left").join(by_set.select("set_key", good.alias("g2"), open_.alias("o2")), "set_key", "left").join(around, "set_key", "left")
     hit, waits = F.coalesce(F.least("g1", "g2", "g3") < F.col("ord"), F.lit(False)), F.coalesce(F.least("o1", "o2", "o3") < F.col("ord"), F.lit(False))
-    return x.select("item_id", "ord", "fp", "set_key", F.when(F.col("kept").isNotNull(), F.col("kept")).when(hit, False).when(~waits, True).alias("kept"))
+    return x.select("item_id", "ord", "fp", "set_key", F.when(F.col("kept").isNotNull(), F.col("kept")).when(hit, False).when(~waits & F.lit(accept), True).alias("kept"))
 
 
 def _in_order(open_: DataFrame, links: DataFrame) -> DataFrame:

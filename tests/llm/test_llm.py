@@ -119,6 +119,18 @@ def test_batches_one_by_one(spark, tmp_path, last, monkeypatch):
     assert kept and not kept & {j for _, j in want}
 
 
+def test_batches_rounds_then_one_task(spark, monkeypatch):
+    """Items left for the last task that repeat one which a round has accepted are rejected, whatever number is left."""
+    a, b, c = sentence(30), sentence(30), sentence(30)
+    rows = [(1, 1, None, a), (1, 2, None, b), (2, 3, None, a + " end"), (2, 4, "AB" * 32, b + " end"), (3, 5, "ab" * 32, c), (3, 6, None, c + " end")]
+    df = spark.createDataFrame(rows, "batch_no int, item_id long, fingerprint string, item_text string")
+    want = brute_rejected(rows)
+    assert want == {(1, 3), (2, 4), (5, 6)}
+    for last in (5, 3, 1):
+        monkeypatch.setattr(batches, "LAST", last)
+        assert {(r.item_id, r.dup_item_id) for r in batches.rejected_items(df).collect()} == want
+
+
 def test_large_text_in_the_table(spark):
     """A text of more windows than a 16-bit number counts."""
     long = " ".join(f"x{i}" for i in range(40_000))
