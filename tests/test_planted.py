@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lodestone.plans.dedup_queries import _shared_halves
 
 LONG = " ".join(f"alpha{i} beta{i}" for i in range(40))
 OTHER = " ".join(f"gamma{i} delta{i}" for i in range(40))
@@ -67,3 +68,17 @@ def test_planted(spark, tables, name, key, want):
 def test_exact_and_fragments(spark, tables):
     got = {(r["example_id"], r["prompt_id"], r["exact"]) for r in both(spark, tables, "g6_example_contamination")}
     assert ("e1", "pr_0001", "True") in got and ("e2", "pr_0001", "False") in got
+
+
+def test_common_shingle_makes_no_pairs(spark, tmp_path):
+    """f12_candidate_union: a run of words that all texts have pairs none of them; halves, repeats of a key, short and null texts count as in SQL."""
+    common, tail = "students often ask why a", lambda i, n=8: " ".join(f"w{i}x{j}" for j in range(n))
+    docs = [(i, f"{common} {tail(i)}") for i in range(60)] + [(60, "two words"), (61, None), (62, ""), (63, tail(900, 9)), (63, tail(900, 20)), (64, "Straße ΟΔΟΣ one two three")]
+    items = [(20 * i, f"{common} {tail(i + 40)}") for i in range(40)] + [(800, "Two\u00a0words"), (820, None), (840, ""), (860, tail(900, 12)), (860, tail(900, 6)), (880, "strasse οδος ONE two three"), (901, common), (920, tail(900, 10) + " " + tail(7, 6)), (0, f"{common} {tail(40)}")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i + 5, t) for i, t in docs] * 2, "record_id bigint, text string").write.parquet(f"{tmp_path}/retrieved_source_records.parquet")
+    spark.createDataFrame(items, "item_id bigint, item_text string").write.parquet(f"{tmp_path}/fingerprints.parquet")
+    rows = both(spark, str(tmp_path), "f12_candidate_union")
+    assert {int(r["item_id"]) for r in rows} >= {0, 380, 800, 860, 880}
+    pairs = _shared_halves(spark, str(tmp_path))[0]
+    assert pairs.count() <= 60
